@@ -76,16 +76,16 @@ WITH RECURSIVE links AS (
 ), roots AS (
   SELECT DISTINCT {_ID} AS id FROM sessions
 ), walk AS (
-  SELECT id, parent AS at, [id] AS seen, 1 AS steps FROM links
+  SELECT id, parent AS up, [id] AS seen, 1 AS steps FROM links
   UNION ALL
-  SELECT w.id, l.parent, list_append(w.seen, l.id), w.steps + 1 FROM walk w JOIN links l ON l.id = w.at WHERE NOT list_contains(w.seen, w.at)
+  SELECT w.id, l.parent, list_append(w.seen, l.id), w.steps + 1 FROM walk w JOIN links l ON l.id = w.up WHERE NOT list_contains(w.seen, w.up)
 ), ends AS (
-  SELECT w.*, list_contains(w.seen, w.at) AS cyclic, r.id IS NOT NULL AS rooted
-  FROM walk w LEFT JOIN links l ON l.id = w.at LEFT JOIN roots r ON r.id = w.at
-  WHERE w.at IS NULL OR l.id IS NULL OR list_contains(w.seen, w.at)
+  SELECT w.*, list_contains(w.seen, w.up) AS cyclic, r.id IS NOT NULL AS rooted
+  FROM walk w LEFT JOIN links l ON l.id = w.up LEFT JOIN roots r ON r.id = w.up
+  WHERE w.up IS NULL OR l.id IS NULL OR list_contains(w.seen, w.up)
 )"""
 SQL: dict[str, str] = {
-    "p2_found": _WALK + " SELECT id, CASE WHEN coalesce(cyclic, false) THEN 'cycle' WHEN rooted THEN at ELSE 'missing' END AS root_id, CAST(CASE WHEN NOT coalesce(cyclic, false) AND rooted THEN steps ELSE -1 END AS INTEGER) AS true_depth FROM ends",
-    "p2_paths": _WALK + " SELECT id, array_to_string(list_reverse(list_append(seen, at)), '/') AS path FROM ends WHERE NOT coalesce(cyclic, false) AND rooted",
-    "p2_descendants": _WALK + " SELECT p.x AS ancestor_id, id, CAST(p.k AS INTEGER) AS distance FROM (SELECT id, unnest(list_append(seen, at)) AS x, generate_subscripts(list_append(seen, at), 1) - 1 AS k FROM ends WHERE NOT coalesce(cyclic, false) AND rooted) p WHERE p.k > 0",
+    "p2_found": _WALK + " SELECT id, CASE WHEN coalesce(cyclic, false) THEN 'cycle' WHEN rooted THEN up ELSE 'missing' END AS root_id, CAST(CASE WHEN NOT coalesce(cyclic, false) AND rooted THEN steps ELSE -1 END AS INTEGER) AS true_depth FROM ends",
+    "p2_paths": _WALK + " SELECT id, array_to_string(list_reverse(list_append(seen, up)), '/') AS path FROM ends WHERE NOT coalesce(cyclic, false) AND rooted",
+    "p2_descendants": _WALK + " SELECT p.x AS ancestor_id, id, CAST(p.k AS INTEGER) AS distance FROM (SELECT id, unnest(list_append(seen, up)) AS x, generate_subscripts(list_append(seen, up), 1) - 1 AS k FROM ends WHERE NOT coalesce(cyclic, false) AND rooted) p WHERE p.k > 0",
 }
