@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import conversations, mixing, tokenizer
+from strandline.llm import conversations, mixing, pairs, reading, tokenizer
 from strandline.sources.tables import table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "interactions"))
+
+
+def p4_refusals(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.refusal_templates(pairs.read_pairs(table(spark, d, "interactions")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "messages")).select("session_id", "pos", "message_id")
 
@@ -30,7 +38,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_contigs, p7_ids, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_refusals, p6_found, p6_contigs, p7_ids, p8_mix, p8_shares, p9_found)}
 
 _ROLE = "lower(regexp_replace(role, '^[\\s:<|\\[\\]>]+|[\\s:<|\\[\\]>]+$', '', 'g'))"
 _ROLES = "CASE " + " ".join(f"WHEN {_ROLE} IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in conversations.ROLES.items()) + " END"
