@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import conversations, mixing, pairs, reading, tokenizer
+from strandline.llm import conversations, mixing, pairs, pii, reading, tokenizer
 from strandline.sources.tables import table
 
 
+def _free_text(spark: SparkSession, d: str) -> DataFrame:
+    return pii.text_fields(table(spark, d, "interactions"), table(spark, d, "cases"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(_free_text(spark, d))
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(_free_text(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(table(spark, d, "interactions"))
 
@@ -42,7 +54,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_refusals, p6_found, p6_contigs, p7_ids, p8_mix, p8_shares, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_refusals, p6_found, p6_contigs, p7_ids, p8_mix, p8_shares, p9_found)}
 
 _ROLE = "lower(regexp_replace(role, '^[\\s:<|\\[\\]>]+|[\\s:<|\\[\\]>]+$', '', 'g'))"
 _ROLES = "CASE " + " ".join(f"WHEN {_ROLE} IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in conversations.ROLES.items()) + " END"
