@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +40,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so lost executors cost no recomputation of earlier rounds."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to Python workers that cannot import it from their own path; once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_strandline_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    bundle = os.path.join(tempfile.mkdtemp(prefix="strandline-py-"), "strandline.zip")
+    with zipfile.ZipFile(bundle, "w") as z:
+        for folder, _, files in os.walk(home):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("strandline", os.path.relpath(full, home)))
+    sc.addPyFile(bundle)
+    sc._strandline_shipped = True
