@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from strandline.llm.text import FUNCTION_WORDS
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Size of the hashed tables of word statistics, whatever the corpus.
-SLOTS = 1 << 18
+#: Size of a hashed table of word statistics, whatever the corpus; a count is the lesser of two tables with different hashes.
+SLOTS = 1 << 19
 #: Texts used at most for fitting the weights, the ones with the smallest hash.
 FIT_TEXTS = 20_000
 #: Strength with which weights are held to their priors, the couplings of neighbours and of mentions that share words, rounds of messages.
@@ -111,32 +111,39 @@ class Mention:
     telling: int = 0  # 1 and -1: the context alone decides
 
 
-def slot(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) % SLOTS
+def slots(word: str) -> tuple[int, int]:
+    raw = word.encode("utf-8", "replace")
+    return zlib.crc32(raw) % SLOTS, SLOTS + zlib.crc32(raw, 0x9E3779B9) % SLOTS
 
 
 class Statistics:
     """Hashed counts of words over the corpus: in lower case, capitalised, as first word of a mention that may be a name, and of one that is announced as a name."""
 
     def __init__(self, table: np.ndarray | None = None) -> None:
-        self.table = np.zeros((4, SLOTS), dtype=np.int32) if table is None else table
+        self.table = np.zeros((4, 2 * SLOTS), dtype=np.int32) if table is None else table
+
+    def counts(self, word: str, a: int, b: int) -> tuple[int, int]:
+        """The word's counts of the statistics a and b."""
+        i, j = slots(word)
+        t = self.table
+        return int(min(t[a, i], t[a, j])), int(min(t[b, i], t[b, j]))
 
     def dictionary(self, word: str) -> float:
         """0 for words only written with a capital, up to 1 for common words."""
-        k = slot(word.lower())
-        low, cap = int(self.table[0, k]), int(self.table[1, k])
+        low, cap = self.counts(word.lower(), 0, 1)
         return low / (low + cap) if low + cap > 1 and low > 2 else 0.0
 
     def first_name(self, word: str) -> float:
         """Log odds, from -3 to 2, that a mention that begins with the word is a name, from how often such mentions are announced as names."""
         best = -3.0
         for w in word.lower().split("-"):
-            k = slot(w)
-            seen, told = int(self.table[2, k]), int(self.table[3, k])
+            seen, told = self.counts(w, 2, 3)
             best = max(best, min(2.0, math.log((told + 0.3) / (0.06 * seen + 0.3))))
         return best
 
 
+#: Words that stand free, not in an email address, path or identifier.
+_FREE = regex.compile(r"(?<![\w@.+/\\\-=])\p{L}[\p{L}'’]*(?:-\p{L}[\p{L}'’]*)*(?![\w@/=]|[.\-+]\w|[ \t]?@)")
 _TOKEN = regex.compile(r"\p{L}[\p{L}'’]*(?:-\p{L}[\p{L}'’]*)*")
 
 
@@ -284,11 +291,11 @@ def redact(text: str | None, items: list[Mention]) -> str | None:
 
 
 def word_statistics(texts: DataFrame) -> Statistics:
-    """Statistics over all texts: two passes of hashed counts, tables of fixed size, at most 4 * SLOTS rows to the driver."""
+    """Statistics over all texts: two passes of hashed counts, tables of fixed size, at most 8 * SLOTS rows to the driver."""
 
     def tally(known: object) -> object:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((4, SLOTS), dtype=np.int64)
+            total = np.zeros((4, 2 * SLOTS), dtype=np.int64)
             stats = Statistics(known.value) if known else None
             for b in batches:
                 for t in b.column(0).to_pylist():
@@ -296,25 +303,25 @@ def word_statistics(texts: DataFrame) -> Statistics:
                         continue
                     if stats is None:
                         mixed = t != t.upper() and t != t.lower()
-                        for m in _TOKEN.finditer(t) if mixed else ():
+                        for m in _FREE.finditer(t) if mixed else ():
                             w = m[0]
                             if len(w) > 1:
-                                total[int(w[0].isupper()), slot(w.lower())] += 1
+                                total[int(w[0].isupper()), slots(w.lower())] += 1
                         continue
                     for m in name_mentions(t, stats):
                         if not m.x[FEATURES.index("low")]:
                             toks = [w for w in _TOKEN.findall(t[m.start : m.end]) if len(w) > 1]
                             first = toks[-1] if m.x[FEATURES.index("comma")] else toks[0]
                             for w in first.lower().split("-"):
-                                total[2, slot(w)] += 1
-                                total[3, slot(w)] += m.telling > 0
+                                total[2, slots(w)] += 1
+                                total[3, slots(w)] += m.telling > 0
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total.ravel()[used], pa.int64())], names=["slot", "n"])
 
         rows = texts.select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-        table = np.zeros(4 * SLOTS, dtype=np.int32)
+        table = np.zeros(8 * SLOTS, dtype=np.int32)
         table[rows["slot"].to_numpy(dtype=np.int64)] = np.minimum(rows["n"].to_numpy(dtype=np.int64), 2**31 - 1)
-        return table.reshape(4, SLOTS)
+        return table.reshape(4, 2 * SLOTS)
 
     first = tally(None)
     return Statistics(first + tally(texts.sparkSession.sparkContext.broadcast(first)))
