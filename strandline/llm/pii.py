@@ -27,7 +27,7 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 #: Size of a hashed table of word statistics, whatever the corpus; a count is the lesser of two tables with different hashes.
 SLOTS = 1 << 19
 #: Texts used at most for fitting the weights, the ones with the smallest hash.
-FIT_TEXTS = 20_000
+FIT_TEXTS = 6_000
 #: Strength with which weights are held to their priors, the couplings of neighbours and of mentions that share words, rounds of messages.
 HOLD, NEAR, SAME, ROUNDS = 20.0, 0.3, 2.0, 12
 
@@ -121,6 +121,16 @@ class Statistics:
 
     def __init__(self, table: np.ndarray | None = None) -> None:
         self.table = np.zeros((4, 2 * SLOTS), dtype=np.int32) if table is None else table
+        self.memory: dict[str, tuple[float, float]] = {}
+
+    def of(self, word: str) -> tuple[float, float]:
+        """(dictionary, first_name) of a word; the memory is emptied when full."""
+        got = self.memory.get(word)
+        if got is None:
+            if len(self.memory) > 100_000:
+                self.memory.clear()
+            got = self.memory[word] = (self.dictionary(word), self.first_name(word))
+        return got
 
     def counts(self, word: str, a: int, b: int) -> tuple[int, int]:
         """The word's counts of the statistics a and b."""
@@ -147,16 +157,20 @@ _FREE = regex.compile(r"(?<![\w@.+/\\\-=])\p{L}[\p{L}'’]*(?:-\p{L}[\p{L}'’]*
 _TOKEN = regex.compile(r"\p{L}[\p{L}'’]*(?:-\p{L}[\p{L}'’]*)*")
 
 
-def name_mentions(text: str, stats: Statistics) -> Iterator[Mention]:
+def name_mentions(text: str, stats: Statistics, lower: bool = True) -> Iterator[Mention]:
     """Pairs of words, or initials and a word, that may be a full name. A common word at the front is taken off and the rest tried again."""
     spent: list[tuple[int, int]] = []
-    for pattern, low in ((NAME, False), (LOW_NAME, True)):
+    for pattern, low in ((NAME, False), (LOW_NAME, True))[: 1 + lower]:
         at = 0
         while m := pattern.search(text, at):
             start, end = m.span()
             at = start + 1
             head = _TOKEN.match(text, start)
             at = head.end() if head else at
+            if low:
+                word = head[0] if head else ""
+                if len(word) > 1 and "," not in text[start:end] and (stats.of(word)[0] > 0.3 or word in _STOP or stats.of(word)[1] <= 0.5 and text[start - 1 : start] not in ("=", '"', "'", " ", "\t")):
+                    continue
             if any(a < end and start < b for a, b in spent):
                 continue
             cut = regex.sub(r"['’]s?$", "", text[start:end])
@@ -169,19 +183,19 @@ def name_mentions(text: str, stats: Statistics) -> Iterator[Mention]:
                 continue
             first = toks[-1] if comma else toks[0]
             initials = len(_TOKEN.findall(cut)) > len(toks)
-            fame = stats.first_name(first)
-            common = max((stats.dictionary(t) for t in toks), default=0.0)
+            fame = stats.of(first)[1]
+            common = max((stats.of(t)[0] for t in toks), default=0.0)
             if low and (common > 0.3 or any(t in _STOP for t in toks) or not (told or fame > 0.5 and len(toks) > 1)):
                 continue
             if len(toks) == 1 and not initials:
                 continue
-            if not low and (stats.dictionary(toks[0]) > 0.5 or toks[0].lower() in _STOP) and not (told and fame > 0.5):
+            if not low and (stats.of(toks[0])[0] > 0.5 or toks[0].lower() in _STOP) and not (told and fame > 0.5):
                 continue  # "Ask Ida Hall": the search goes on behind the first word
             if fame < 0 and not told and (m2 := pattern.match(text, at + len(text[at:]) - len(text[at:].lstrip(" \t,")))):
                 rest = [t for t in _TOKEN.findall(m2[0]) if len(t) > 1]
-                if rest and stats.first_name(rest[-1] if "," in m2[0] else rest[0]) > fame + 0.5:
+                if rest and stats.of(rest[-1] if "," in m2[0] else rest[0])[1] > fame + 0.5:
                     continue  # "Reach Ida Hall": the first word never begins a name
-            if comma and fame < stats.first_name(toks[0]) and len(toks) > 1:
+            if comma and fame < stats.of(toks[0])[1] and len(toks) > 1:
                 continue  # "Ida Hall, Ida Berg" is no surname in front of a first name
             against = bool(NO_NAME_BEFORE.search(left)) and not bool(TITLE.search(left))
             after_no = bool(NO_NAME_AFTER.search(right))
@@ -308,7 +322,7 @@ def word_statistics(texts: DataFrame) -> Statistics:
                             if len(w) > 1:
                                 total[int(w[0].isupper()), slots(w.lower())] += 1
                         continue
-                    for m in name_mentions(t, stats):
+                    for m in name_mentions(t, stats, lower=False):
                         if not m.x[FEATURES.index("low")]:
                             toks = [w for w in _TOKEN.findall(t[m.start : m.end]) if len(w) > 1]
                             first = toks[-1] if m.x[FEATURES.index("comma")] else toks[0]
