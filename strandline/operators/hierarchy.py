@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions.ids import canonical_uuid
-from strandline.session import cut
+from strandline.session import cut, cut_counting, free
 
 #: Siblings are chained inside hash buckets first, so a parent with most of the rows is spread over tasks.
 SIBLING_BUCKETS = 256
@@ -36,26 +36,26 @@ def agent_links(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_i
 def cycle_members(edges: DataFrame, peel_rounds: int = PEEL_ROUNDS) -> DataFrame:
     """(id) of the nodes that lie on a cycle. ``edges``: (id, parent), one row an id, parent never null.
 
-    Peeling takes away nodes without children and nodes whose parent is gone, until only cycles are left
-    or ``peel_rounds`` is reached. The rest is settled by doubling: the image of the 2^k-fold parent
-    function shrinks to exactly the cycle members, and is that set once its size stops changing.
+    Peeling takes away nodes without children and nodes whose parent is gone. If a round takes none, the rest
+    are the cycles. After ``peel_rounds`` doubling settles what is left: rows whose pointer leaves the set are
+    dropped, and the image of the 2^k-fold parent function is the cycle members once 2^k reaches the row count.
     """
-    core, size = edges, None
+    core, size = edges, -1
     for _ in range(peel_rounds):
-        core = cut(core.join(core.select(F.col("parent").alias("id")).distinct(), "id", "left_semi").join(core.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent"))
-        before, size = size, core.count()
-        if size == 0 or size == before:
-            break
-    if not size:
-        return core.select("id")
-    jump, image, steps = core, None, 1
-    while True:
-        targets = jump.select(F.col("parent").alias("id")).distinct().join(core.select("id"), "id", "left_semi")
-        before, image = image, targets.count()
-        if image == 0 or image == before or steps > 2 * size:
-            return targets
+        inner = core.join(core.select(F.col("parent").alias("id")).distinct(), "id", "left_semi").join(core.select(F.col("id").alias("parent")), "parent", "left_semi")
+        before, old = size, core
+        core, size = cut_counting(inner.select("id", "parent"))
+        free(old)
+        if size in (0, before):
+            return core.select("id")
+    jump, steps = core, 1
+    while steps < 2 * size:
         other = jump.select(F.col("id").alias("parent"), F.col("parent").alias("next"))
-        jump, steps = cut(jump.join(other, "parent").select("id", F.col("next").alias("parent"))), 2 * steps
+        old = jump
+        jump, size = cut_counting(jump.join(other, "parent").select("id", F.col("next").alias("parent")))
+        free(old)
+        steps *= 2
+    return jump.select(F.col("parent").alias("id")).distinct()
 
 
 def euler_tours(forest: DataFrame) -> DataFrame:
@@ -87,8 +87,10 @@ def euler_tours(forest: DataFrame) -> DataFrame:
     arcs = cut(arcs)
     while True:
         there = arcs.select(F.col("arc").alias("ptr"), F.col("ptr").alias("p2"), F.col("sum").alias("s2"), F.col("n").alias("n2"), F.col("last").alias("l2"))
-        arcs = cut(arcs.join(there, "ptr", "left").select("arc", F.col("p2").alias("ptr"), (F.col("sum") + F.coalesce("s2", F.lit(0))).alias("sum"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.coalesce("last", "l2").alias("last")))
-        if arcs.where(F.col("ptr").isNotNull()).limit(1).count() == 0:
+        old = arcs
+        arcs, open_arcs = cut_counting(arcs.join(there, "ptr", "left").select("arc", F.col("p2").alias("ptr"), (F.col("sum") + F.coalesce("s2", F.lit(0))).alias("sum"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.coalesce("last", "l2").alias("last")), "ptr is not null")
+        free(old)
+        if not open_arcs:
             break
     ranked = arcs.select(F.expr("substr(arc, 1, length(arc) - 1)").alias("node"), F.expr("right(arc, 1) = '+'").alias("down"), "sum", "n", F.expr("substr(last, 1, length(last) - 1)").alias("root"))
     return ranked.groupBy("node", "root").agg(
@@ -129,10 +131,12 @@ def paths(links: DataFrame, ranked: DataFrame) -> DataFrame:
     front of which the path of the pointer is set.
     """
     rooted = ranked.where("status = 'rooted'").select("id", "root_id", "depth")
-    step = cut(rooted.join(links, "id").select("id", F.when(F.col("depth") > 1, F.col("parent")).alias("ptr"), F.when(F.col("depth") > 1, F.array("id")).otherwise(F.array("root_id", "id")).alias("path")))
-    while step.where("ptr is not null").limit(1).count():
+    step, left = cut_counting(rooted.join(links, "id").select("id", F.when(F.col("depth") > 1, F.col("parent")).alias("ptr"), F.when(F.col("depth") > 1, F.array("id")).otherwise(F.array("root_id", "id")).alias("path")), "ptr is not null")
+    while left:
         there = step.select(F.col("id").alias("ptr"), F.col("ptr").alias("p2"), F.col("path").alias("front"))
-        step = cut(step.join(there, "ptr", "left").select("id", F.col("p2").alias("ptr"), F.when(F.col("front").isNull(), F.col("path")).otherwise(F.concat("front", "path")).alias("path")))
+        old = step
+        step, left = cut_counting(step.join(there, "ptr", "left").select("id", F.col("p2").alias("ptr"), F.when(F.col("front").isNull(), F.col("path")).otherwise(F.concat("front", "path")).alias("path")), "ptr is not null")
+        free(old)
     return step.select("id", "path")
 
 

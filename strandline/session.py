@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, partitions: int = 8, app: str = "strandline") -> SparkSession:
@@ -27,19 +30,61 @@ def local_session(cpus: int = 8, partitions: int = 8, app: str = "strandline") -
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+_written: dict[str, SparkSession] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: that of ``spark.checkpoint.dir``, or one of our own only where it is unset (tests)."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strandline-ckpt-"))
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="strandline-shared-")
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so lost executors cost no recomputation of earlier rounds."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a table written to the shared folder, so that lost executors cost no recomputation of earlier steps.
+
+    A written table has the size of its files as statistics. (The estimates of a checkpoint() are those of its
+    plan; over rounds of self-joins these numbers double their digits each round.)
+    """
+    return cut_counting(df, "true")[0]
+
+
+def cut_counting(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
+    """:func:`cut` and the number of rows that meet ``condition``, counted by the same job."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/strandline-{uuid.uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, F.count_if(F.expr(condition)).alias("n")).write.parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strandline_path = path
+    return out, int(seen.get.get("n") or 0)
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`cut` wrote and nothing reads any more."""
+    for df in tables:
+        _delete(getattr(df, "_strandline_path", ""))
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is None:
+        return
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session has ended; the shared folder is cleared with it
+        pass
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in [*_written]:
+        _delete(path)
 
 
 def ship(spark: SparkSession) -> None:
