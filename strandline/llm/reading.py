@@ -36,16 +36,30 @@ CONNECTIVES = frozenset("although because since whereas while when whenever if u
 _VOWELS = re.compile(r"[aeiouy]+")
 
 
+_slots: dict[str, int] = {}
+
+
 def slot(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) % SLOTS
+    k = _slots.get(word)
+    if k is None:
+        if len(_slots) > 200_000:
+            _slots.clear()
+        k = _slots[word] = zlib.crc32(word.encode("utf-8", "replace")) % SLOTS
+    return k
 
 
 def english_prose(text: str | None) -> tuple[str, list[str]] | None:
-    """(prose, words) of a document whose prose is English and long enough, else None. Sentences in another language count by their own words."""
+    """(prose, words in lower case) of a document whose prose is English and long enough, else None.
+
+    Where the text as a whole leaves a doubt, its sentences decide, each with the number of its words.
+    """
     plain = prose(text)
-    found = words(plain)
+    found = [w.lower() for w in words(plain)]
     if len(found) < LEAST_WORDS:
         return None
+    whole, evidence = language(plain)
+    if whole == "en" and evidence > 0.15 * len(found):
+        return plain, found
     by: dict[str, int] = {}
     for s in sentences(plain):
         k, _ = language(s)
@@ -54,33 +68,46 @@ def english_prose(text: str | None) -> tuple[str, list[str]] | None:
     return (plain, found) if rest and max(rest, key=lambda k: rest[k]) == "en" else None
 
 
-def word_slots(text: str | None) -> np.ndarray:
+def word_slots(text: str | None) -> list[int]:
     got = english_prose(text)
-    return np.fromiter((slot(w.lower()) for w in got[1]), dtype=np.int64) if got else np.empty(0, dtype=np.int64)
+    return [slot(w) for w in got[1]] if got else []
 
 
 def syllables(word: str) -> int:
     return max(1, len(_VOWELS.findall(word)))
 
 
-def features(text: str | None, rarity: np.ndarray) -> list[float] | None:
-    """The features of a document, or None if it has no reading level. ``rarity``: minus the log share of each word slot."""
+class WordMeasures(dict):
+    """(length, three syllables or more, rarity, connective) by word; emptied when full."""
+
+    def __init__(self, rarity: np.ndarray) -> None:
+        self.rarity = rarity
+
+    def __missing__(self, w: str) -> tuple[int, int, float, int]:
+        if len(self) > 200_000:
+            self.clear()
+        got = self[w] = (len(w), int(syllables(w) >= 3), float(self.rarity[slot(w)]), int(w in CONNECTIVES))
+        return got
+
+
+def features(text: str | None, measures: WordMeasures) -> list[float] | None:
+    """The features of a document, or None if it has no reading level."""
     got = english_prose(text)
     if got is None:
         return None
-    plain, found = got
+    plain, low = got
     per = []
     for s in sentences(plain):
-        ws = [w.lower() for w in words(s)]
-        if len(ws) < 3:
+        ms = [measures[w.lower()] for w in words(s)]
+        n = len(ms)
+        if n < 3:
             continue
-        long = [w for w in ws if len(w) >= 4]
-        per.append((sum(map(len, ws)) / len(ws), len(ws), sum(syllables(w) >= 3 for w in ws) / len(ws), sum(rarity[slot(w)] for w in (long or ws)) / len(long or ws), sum(w in CONNECTIVES for w in ws) + s.count(",") + s.count(";")))
+        rare = [m[2] for m in ms if m[0] >= 4] or [m[2] for m in ms]
+        per.append((sum(m[0] for m in ms) / n, n, sum(m[1] for m in ms) / n, sum(rare) / len(rare), sum(m[3] for m in ms) + s.count(",") + s.count(";")))
     if not per:
         return None
     a = np.array(per)
     weight = a[:, 1] / a[:, 1].sum()
-    low = [w.lower() for w in found]
     window = [len(set(low[i : i + 40])) / 40 for i in range(0, max(1, len(low) - 39), 20)]
     mid = np.median(a, axis=0)
     return [float(x) for x in (*a.mean(axis=0), *mid, (a[:, 0] * weight).sum(), np.mean(a[:, 1] > 9), np.mean(a[:, 2] > 0.3), np.mean((a[:, 1] > 9) & (a[:, 2] <= 0.3)), np.mean(window))]
@@ -111,10 +138,11 @@ def document_features(documents: DataFrame, rarity: np.ndarray) -> DataFrame:
     table = documents.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measures = WordMeasures(table.value)
         for b in batches:
             ids, xs = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = features(t, table.value)
+                x = features(t, measures)
                 if x is not None:
                     ids.append(i)
                     xs.append(x)

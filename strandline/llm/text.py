@@ -22,6 +22,7 @@ FUNCTION_WORDS = {
     "fr": "le la les des et est un une du que qui dans en pour pas sur au ce il ne se plus par avec son sont mais ou nous vous cette ces aux été dont leur sans si tout cela elle même fait donc était avant deux",
 }
 _LANGUAGES = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_CYRILLIC, _LATIN = re.compile("[\u0400-\u04ff]"), re.compile("[\u0000-\u024f\u1e00-\u1eff]")
 _SHARED = frozenset(w for w, n in Counter(w for v in _LANGUAGES.values() for w in v).items() if n > 1)
 _MARKS = {"de": re.compile(r"[äöüßÄÖÜ]"), "es": re.compile(r"[ñ¿¡áíóú]"), "fr": re.compile(r"[èêëçœàùâîôû]|\b[ldjnscm]['’]|\bqu['’]")}
 
@@ -57,8 +58,10 @@ def language(text: str) -> tuple[str, float]:
     if not found:
         return "none", 0.0
     letters = "".join(found)
-    cyrillic = sum("\u0400" <= c <= "\u04ff" for c in letters)
-    latin = sum(c < "\u0250" or "\u1e00" <= c <= "\u1eff" for c in letters)
+    if letters.isascii():
+        cyrillic, latin = 0, len(letters)
+    else:
+        cyrillic, latin = len(_CYRILLIC.findall(letters)), len(_LATIN.findall(letters))
     if cyrillic > latin:
         return "ru", float(sum("\u0400" <= w[0] <= "\u04ff" for w in found))
     if latin <= len(letters) / 2:
