@@ -12,7 +12,8 @@ SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|\n\s*(?=[-*•]\s|\d+[.)]
 _LOG = re.compile(r"^\s*(?:\[?\d{4}-\d\d|\[?\d\d:\d\d:\d\d|\d+ ?ms\b|(?:TRACE|DEBUG|INFO|NOTICE|WARN(?:ING)?|ERROR|FATAL)\b|at [\w$.<>]+\(|Traceback\b|File \"|Caused by\b|\$ |>>> )")
 _TABLE = re.compile(r"^\s*\|.*\||^[^|\n]*\|[^|\n]*\||\t\S*\t|^\s*[-+=|:]{3,}\s*$|^[^;\n]*;[^;\n]*;[^;\n]*;")
 _CODE = re.compile(r"[;{}]\s*$|:=|==|!=|=>|->|\+=|&&|\|\||^\s*(?:def|class|import|from \w+ import|return|func|fn|let|const|var|if .*[:{]\s*$|for .*[:{]\s*$|else\b.*[:{]\s*$|export|public|private|select .* from|where \w+ [<>=]|group by|order by|#include)\b|^\s*\w+ = |\w+\.\w+\(|^\s*\w+\([^)]*\)\s*$|\b\w+=\S+ \w+=\S+")
-_SKIP = re.compile(r"`[^`\n]*`|\S*[/\\_@=]\S*|\S*\d\S*|\b[a-z]+[A-Z]\w*|--\w[\w-]*")
+_TICKS = re.compile(r"`[^`\n]*`")
+_ODD = re.compile(r"[\d/\\_@=]|[a-z][A-Z]|^--\w")
 
 #: Frequent function words that tell the languages apart (fixed values).
 FUNCTION_WORDS = {
@@ -43,8 +44,8 @@ def prose(text: str | None) -> str:
     if not text:
         return ""
     text = re.sub(r"\r\n?|[\u2028\u2029\x0b\x0c\x85]", "\n", text)
-    lines = FENCE.sub("\n", text).split("\n")
-    return "\n".join(TAG.sub(" ", x) for x in lines if is_prose(x))
+    lines = (FENCE.sub("\n", text) if "```" in text or "~~~" in text else text).split("\n")
+    return "\n".join(TAG.sub(" ", x) if "<" in x else x for x in lines if is_prose(x))
 
 
 def sentences(text: str) -> list[str]:
@@ -53,7 +54,7 @@ def sentences(text: str) -> list[str]:
 
 def language(text: str) -> tuple[str, float]:
     """(language, evidence): en, de, es, fr, ru, ``other`` for other scripts, or ``none``; evidence counts the words that speak for it against the next one."""
-    plain = _SKIP.sub(" ", text)
+    plain = " ".join(w for w in (_TICKS.sub(" ", text) if "`" in text else text).split() if not _ODD.search(w))
     found = WORD.findall(plain)
     if not found:
         return "none", 0.0
