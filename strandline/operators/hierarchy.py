@@ -38,7 +38,8 @@ def cycle_members(edges: DataFrame, peel_rounds: int = PEEL_ROUNDS) -> DataFrame
 
     Peeling takes away nodes without children and nodes whose parent is gone. If a round takes none, the rest
     are the cycles. After ``peel_rounds`` doubling settles what is left: rows whose pointer leaves the set are
-    dropped, and the image of the 2^k-fold parent function is the cycle members once 2^k reaches the row count.
+    dropped; once a round drops none, all that is left leads into cycles, and the image of the 2^k-fold parent
+    function is the cycle members as soon as 2^k reaches the row count.
     """
     core, size = edges, -1
     for _ in range(peel_rounds):
@@ -48,8 +49,9 @@ def cycle_members(edges: DataFrame, peel_rounds: int = PEEL_ROUNDS) -> DataFrame
         free(old)
         if size in (0, before):
             return core.select("id")
-    jump, steps = core, 1
-    while steps < 2 * size:
+    jump, steps, before = core, 1, -1
+    while size and not (size == before and steps >= size):
+        before = size
         other = jump.select(F.col("id").alias("parent"), F.col("parent").alias("next"))
         old = jump
         jump, size = cut_counting(jump.join(other, "parent").select("id", F.col("next").alias("parent")))

@@ -202,10 +202,10 @@ def edit_script(seen: Seen, canon: Canon, together: set[tuple[str, str, str]] =
         if at is None:
             if want.required:
                 out.append(Edit("delete", path))
-        elif want.fields and "object" in at.kinds:
+        elif want.kind == "object" and "object" in at.kinds:
             out += edit_script(at, want, together, path)
-        elif want.elem and at.elem is not None and at.elem.kinds:
-            out += edit_script(at.elem, want.elem, together, path + "[]")
+        elif want.kind == "array" and at.elem is not None and at.elem.kinds:
+            out += edit_script(at.elem, want.elem or Canon(), together, path + "[]")
     if not prefix:
         for d in [e for e in out if e.op == "delete"]:
             for i in [e for e in out if e.op == "insert"]:
@@ -387,4 +387,5 @@ def unified(lines: DataFrame, canonical: DataFrame, script: DataFrame) -> DataFr
             yield df.astype({cols[q]: "Int64" for q, k in shape.items() if k == "integer"})
 
     ddl = "line_id bigint, file_path string, line_no int, record_kind string, " + ", ".join(f"`{cols[p]}` {'bigint' if k == 'integer' else 'string'}" for p, k in shape.items())
-    return lines.join(names, "file_path", "left").select("line_id", "file_path", F.col("line_no").cast("int"), "line", "renames").mapInPandas(run, ddl)
+    own = lines.select("line_id", "file_path", "line_no", "line")
+    return own.join(names, "file_path", "left").select("line_id", "file_path", F.col("line_no").cast("int"), "line", "renames").mapInPandas(run, ddl)

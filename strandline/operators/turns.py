@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from strandline.operators.records import is_spawn, is_tool_call
 
-FILE = Window.partitionBy("file_path").orderBy("line_no", "record_id")
-SO_FAR = FILE.rowsBetween(Window.unboundedPreceding, 0)
-_event = F.col("rec_type") == "event_msg"
+
+def in_file() -> WindowSpec:
+    return Window.partitionBy("file_path").orderBy("line_no", "record_id")
+
+
+def so_far() -> WindowSpec:
+    return in_file().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _is(*kinds: str) -> Column:
-    return F.coalesce(_event & F.col("kind").isin(*kinds), F.lit(False))
+    return F.coalesce((F.col("rec_type") == "event_msg") & F.col("kind").isin(*kinds), F.lit(False))
 
 
 def turns(records: DataFrame) -> DataFrame:
@@ -27,7 +31,7 @@ def turns(records: DataFrame) -> DataFrame:
     start, end = _is("task_started"), _is("task_complete", "turn_aborted")
     counter = F.when(_is("token_count") & F.col("has_info"), F.coalesce("counter", F.lit(0)))
     rows = records.where("readable").withColumn("is_start", start).withColumn("is_end", end)
-    rows = rows.withColumn("seg", F.sum(F.col("is_start").cast("int")).over(SO_FAR)).withColumn("total", F.coalesce(F.last(counter, ignorenulls=True).over(SO_FAR), F.lit(0)))
+    rows = rows.withColumn("seg", F.sum(F.col("is_start").cast("int")).over(so_far())).withColumn("total", F.coalesce(F.last(counter, ignorenulls=True).over(so_far()), F.lit(0)))
     rows = rows.where("seg > 0").withColumn("last_seg", F.max("seg").over(Window.partitionBy("file_path")))
     inside = Window.partitionBy("file_path", "seg").orderBy("line_no", "record_id")
     rows = rows.withColumn("closed", F.coalesce(F.sum(F.col("is_end").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -53,11 +57,11 @@ def interactions(records: DataFrame) -> DataFrame:
     """(file_path, seq, turn_id, start_ns, status, prompt, answer): like turns, but an open one is kept and a repeated start of the same non-empty id is none."""
     start, end = _is("task_started"), _is("task_complete", "turn_aborted")
     rows = records.where("readable").withColumn("is_start", start).withColumn("is_end", end)
-    edges = rows.where("is_start or is_end").withColumn("before_end", F.lag("is_end").over(FILE)).withColumn("before_id", F.lag("turn_id").over(FILE))
+    edges = rows.where("is_start or is_end").withColumn("before_end", F.lag("is_end").over(in_file())).withColumn("before_id", F.lag("turn_id").over(in_file()))
     fresh = F.col("is_start") & (F.col("before_end").isNull() | F.col("before_end") | (F.coalesce("turn_id", F.lit("")) == "") | ~F.col("turn_id").eqNullSafe(F.col("before_id")))
     flags = edges.select("file_path", "line_no", "record_id", fresh.alias("fresh"))
     rows = rows.join(flags, ["file_path", "line_no", "record_id"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
-    rows = rows.withColumn("seg", F.sum(F.col("fresh").cast("int")).over(SO_FAR)).where("seg > 0")
+    rows = rows.withColumn("seg", F.sum(F.col("fresh").cast("int")).over(so_far())).where("seg > 0")
     inside = Window.partitionBy("file_path", "seg").orderBy("line_no", "record_id")
     rows = rows.withColumn("closed", F.coalesce(F.sum(F.col("is_end").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.withColumn("open_id", F.first("turn_id").over(inside.rowsBetween(Window.unboundedPreceding, 0))).where("closed = 0")

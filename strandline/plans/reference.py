@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandline.operators import effectiveness as E
 from strandline.operators import golden as G
@@ -39,7 +38,7 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return T.turns(_rec(spark, d))
 
 
-def _pick(c: F.Column, at: int, values: tuple[str, ...]) -> F.Column:  # type: ignore[name-defined]
+def _pick(c: Column, at: int, values: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), F.ascii(F.substring(F.md5(c), at, 1)) % len(values) + 1)
 
 
@@ -311,7 +310,7 @@ def a46_validated(spark, d):
 
 @query
 def a47_counter_steps(spark, d):
-    r = _rec(spark, d).where("kind = 'token_count' and counter is not null").withColumn("prev", F.lag("counter").over(T.FILE))
+    r = _rec(spark, d).where("kind = 'token_count' and counter is not null").withColumn("prev", F.lag("counter").over(T.in_file()))
     return r.where("prev is not null").select("record_id", F.when(F.col("counter") >= F.col("prev"), F.col("counter") - F.col("prev")).alias("step"))
 
 
