@@ -108,4 +108,4 @@ def reached(mixture: DataFrame, mix_targets: DataFrame) -> DataFrame:
     targets = mix_targets.select(clean_source(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0")
     targets = targets.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     rows = targets.join(got, "source", "left").fillna(0, ["tokens", "uses", "documents", "most_uses"])
-    return rows.withColumn("reached_share", F.round(F.col("tokens") / F.sum("tokens").over(Window.partitionBy()), 6)).select("source", "target_share", "max_repeats", "reached_share", "tokens", "uses", "documents", "most_uses")
+    return rows.withColumn("reached_share", F.coalesce(F.round(F.try_divide("tokens", F.sum("tokens").over(Window.partitionBy())), 6), F.lit(0.0))).select("source", "target_share", "max_repeats", "reached_share", "tokens", "uses", "documents", "most_uses")

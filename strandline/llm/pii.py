@@ -191,7 +191,7 @@ def name_mentions(text: str, stats: Statistics, lower: bool = True) -> Iterator[
                 continue
             if not low and (stats.of(toks[0])[0] > 0.5 or toks[0].lower() in _STOP) and not (told and fame > 0.5):
                 continue  # "Ask Ida Hall": the search goes on behind the first word
-            if fame < 0 and not told and (m2 := pattern.match(text, at + len(text[at:]) - len(text[at:].lstrip(" \t,")))):
+            if fame < 0.3 and not told and (m2 := pattern.match(text, at + len(text[at:]) - len(text[at:].lstrip(" \t,")))):
                 rest = [t for t in _TOKEN.findall(m2[0]) if len(t) > 1]
                 if rest and stats.of(rest[-1] if "," in m2[0] else rest[0])[1] > fame + 0.5:
                     continue  # "Reach Ida Hall": the first word never begins a name
