@@ -87,6 +87,12 @@ def _delete_all() -> None:
         _delete(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for costly Python work on few large files. Inputs of that many partitions stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Give the package to Python workers that cannot import it from their own path; once a context."""
     sc = spark.sparkContext
