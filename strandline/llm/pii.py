@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.text import FUNCTION_WORDS
+from strandline.session import spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Size of a hashed table of word statistics, whatever the corpus; a count is the lesser of two tables with different hashes.
@@ -332,7 +333,7 @@ def word_statistics(texts: DataFrame) -> Statistics:
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total.ravel()[used], pa.int64())], names=["slot", "n"])
 
-        rows = texts.select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+        rows = spread(texts.select("text")).mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
         table = np.zeros(8 * SLOTS, dtype=np.int32)
         table[rows["slot"].to_numpy(dtype=np.int64)] = np.minimum(rows["n"].to_numpy(dtype=np.int64), 2**31 - 1)
         return table.reshape(4, 2 * SLOTS)
@@ -387,7 +388,7 @@ def find(texts: DataFrame) -> DataFrame:
             cols = [*zip(*out)] or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int32()))], names=["field", "row_key", "kind", "start_pos"])
 
-    return texts.select("field", "row_key", "text").mapInArrow(run, "field string, row_key string, kind string, start_pos int").distinct()
+    return spread(texts.select("field", "row_key", "text")).mapInArrow(run, "field string, row_key string, kind string, start_pos int").distinct()
 
 
 def redacted(texts: DataFrame) -> DataFrame:
@@ -400,4 +401,4 @@ def redacted(texts: DataFrame) -> DataFrame:
             new = [redact(t, personal(t, stats, weights)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], names=["field", "row_key", "text"])
 
-    return texts.select("field", "row_key", "text").mapInArrow(run, "field string, row_key string, text string")
+    return spread(texts.select("field", "row_key", "text")).mapInArrow(run, "field string, row_key string, text string")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.text import language, prose, sentences, words
+from strandline.session import cut, spread
 
 LEVELS = ("basic", "intermediate", "advanced")
 #: Words a document needs outside code, logs and tables.
@@ -127,7 +128,7 @@ def corpus_rarity(documents: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["slot", "n"])
 
-    rows = documents.select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    rows = spread(documents.select("text")).mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(SLOTS)
     counts[rows["slot"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=float)
     return (-np.log((counts + 0.5) / (counts.sum() + 0.5 * SLOTS))).astype(np.float32)
@@ -148,7 +149,7 @@ def document_features(documents: DataFrame, rarity: np.ndarray) -> DataFrame:
                     xs.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(xs, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, x array<double>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, x array<double>")
 
 
 class OrdinalModel:
@@ -202,8 +203,6 @@ def fit_levels(x: DataFrame, labels: DataFrame, most: int = MOST_RATINGS) -> Ord
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, reading_level) for each document with English prose of at least LEAST_WORDS words. No ratings or no documents give no rows."""
-    from strandline.session import cut
-
     x = cut(document_features(documents, corpus_rarity(documents)))
     model = fit_levels(x, labels)
     if model is None:
