@@ -15,6 +15,9 @@ _CODE = re.compile(r"[;{}]\s*$|:=|==|!=|=>|->|\+=|&&|\|\||^\s*(?:def|class|impor
 _TICKS = re.compile(r"`[^`\n]*`")
 _ODD = re.compile(r"[\d/\\_@=]|[a-z][A-Z]|^--\w")
 
+#: Share of function words in running text, at which Latin function words and Cyrillic words are held against each other.
+FUNCTION_SHARE = 0.4
+
 #: Frequent function words that tell the languages apart (fixed values).
 FUNCTION_WORDS = {
     "en": "the of and to in is it that was for on are with as be this by not but at from or an have has had were which you can when there its they if will would all my your we do does so into than then after before what who why how only",
@@ -59,17 +62,16 @@ def language(text: str) -> tuple[str, float]:
     if not found:
         return "none", 0.0
     letters = "".join(found)
-    if letters.isascii():
-        cyrillic, latin = 0, len(letters)
-    else:
-        cyrillic, latin = len(_CYRILLIC.findall(letters)), len(_LATIN.findall(letters))
-    if cyrillic > latin:
-        return "ru", float(sum("\u0400" <= w[0] <= "\u04ff" for w in found))
-    if latin <= len(letters) / 2:
-        return "other", float(len(found))
+    cyrillic = 0
+    if not letters.isascii():
+        cyrillic = sum(1 for w in found if _CYRILLIC.match(w))
+        if not cyrillic and len(_LATIN.findall(letters)) <= len(letters) / 2:
+            return "other", float(len(found))
     low = Counter(w.lower() for w in found)
     score = {k: sum(n * (0.5 if w in _SHARED else 1.0) for w, n in low.items() if w in v) for k, v in _LANGUAGES.items()}
     for k, mark in _MARKS.items():
         score[k] += 0.7 * len(mark.findall(plain))
     (best, n), (_, second) = sorted(score.items(), key=lambda x: -x[1])[:2]
+    if cyrillic and FUNCTION_SHARE * cyrillic > n:  # names and addresses in Latin letters are no other language
+        return "ru", cyrillic - n / FUNCTION_SHARE
     return (best, n - second) if n > second else ("none", 0.0)
