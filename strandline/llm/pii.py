@@ -68,6 +68,7 @@ _W = r"\p{Lu}(?:\p{Ll}|['’]\p{Lu})[\p{L}'’]*(?:-\p{Lu}[\p{L}'’]*)*"
 _C = r"\p{Lu}[\p{Lu}'’]+(?:-[\p{Lu}'’]+)*"
 _L = r"\p{Ll}[\p{Ll}'’]+(?:-[\p{Ll}'’]+)*"
 _I = r"\p{Lu}\."
+_GREETINGS = frozenset("thanks thank regards cheers hi hello dear hallo gruß merci gracias cordialement спасибо привет".split())
 _NAME_END = r"(?!['’]?[\w@]|[.\-]\w|[ \t]?@)"
 
 
@@ -196,6 +197,8 @@ def name_mentions(text: str, stats: Statistics, lower: bool = True) -> Iterator[
                 rest = [t for t in _TOKEN.findall(m2[0]) if len(t) > 1]
                 if rest and stats.of(rest[-1] if "," in m2[0] else rest[0])[1] > fame + 0.5:
                     continue  # "Reach Ida Hall": the first word never begins a name
+            if comma and toks[0].lower() in _GREETINGS:
+                continue  # "Thanks, Ida Hall"
             if comma and fame < stats.of(toks[0])[1] and len(toks) > 1:
                 continue  # "Ida Hall, Ida Berg" is no surname in front of a first name
             against = bool(NO_NAME_BEFORE.search(left)) and not bool(TITLE.search(left))
