@@ -398,4 +398,28 @@ def c26_violations(spark, d):
     return G.violations(table(spark, d, "cases"))
 
 
+@query
+def a21_children(spark, d):
+    one = table(spark, d, "subagent_meta").groupBy("id").agg(F.max("depth").alias("depth"), F.count_distinct("depth").alias("depths"))
+    return one.agg(F.count("*").alias("created"), F.count_if(F.col("depth") > 1).alias("nested"), F.count_if(F.col("depths") > 1).alias("disputed"), F.count_if(F.col("depth").isNull()).alias("no_depth"))
+
+
+@query
+def a22_roles(spark, d):
+    return T.histogram(U.reconciled_children(table(spark, d, "subagent_meta")), "role")
+
+
+@query
+def a30_anonymous_requests(spark, d):
+    r = _rec(spark, d).where("rec_type = 'token_usage_record' and readable and coalesce(response_id, '') = ''")
+    return r.groupBy("file_path", "turn_id").agg(F.count_distinct("ns").alias("requests"))
+
+
+@query
+def a39_coverage(spark, d):
+    m = table(spark, d, "subagent_meta")
+    blank = lambda c: F.count_if(F.coalesce(F.trim(c), F.lit("")) == "")
+    return m.agg(F.count("*").alias("n"), blank("id").alias("no_id"), blank("parent_id").alias("no_parent"), blank("agent_role").alias("no_role"), F.count_if(F.col("depth").isNull()).alias("no_depth"), F.count_if(F.col("has_depth") & F.col("depth").isNull()).alias("depth_lost"))
+
+
 QUERIES = Q

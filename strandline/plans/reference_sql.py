@@ -109,7 +109,6 @@ WITH g AS (
 ), x AS (
   SELECT 'task_type' AS field, e1 AS expected, p1 AS predicted FROM g UNION ALL SELECT 'followup_label', e2, p2 FROM g UNION ALL SELECT 'steering_reason', e3, p3 FROM g
 )"""
-_META = "first_value"
 _SIDES = "SELECT {keys}, u AS uses FROM (SELECT DISTINCT {keys} FROM {rel}) CROSS JOIN (SELECT unnest([true, false]) AS u)"
 
 SQL: dict[str, str] = {
@@ -177,4 +176,8 @@ SQL: dict[str, str] = {
     "r3_comparable": OBS + f", b AS (SELECT *, model || '/' || effort AS route FROM obs WHERE model <> 'unknown' AND effort <> 'unknown' AND task_type <> 'unknown'), g AS (SELECT task_type, route, uses, {_STATS} FROM b GROUP BY ALL HAVING count(*) >= 10) SELECT g.* FROM g WHERE EXISTS (SELECT 1 FROM g h WHERE h.task_type = g.task_type AND h.route = g.route AND h.uses <> g.uses)",
     "c5_cache_keys": f"SELECT case_id AS turn_id, {_KEY} AS cache_key FROM cases",
     "c1_inputs": INTER + ", tasks AS (SELECT turn_id, max(prompt) AS prompt FROM inter WHERE turn_id IS NOT NULL GROUP BY 1), last AS (SELECT previous_turn_id AS turn_id, arg_max(prompt, turn_id) AS followup FROM follow WHERE previous_turn_id IS NOT NULL GROUP BY 1) SELECT turn_id, CAST(length(prompt) AS INTEGER) AS prompt_length, followup FROM tasks LEFT JOIN last USING (turn_id) WHERE prompt <> '' OR followup IS NOT NULL",
+    "a21_children": "SELECT count(*) AS created, count(*) FILTER (WHERE depth > 1) AS nested, count(*) FILTER (WHERE depths > 1) AS disputed, count(*) FILTER (WHERE depth IS NULL) AS no_depth FROM (SELECT id, max(depth) AS depth, count(DISTINCT depth) AS depths FROM subagent_meta GROUP BY id)",
+    "a22_roles": "SELECT role, count(*) AS n FROM (SELECT id, CASE WHEN count(DISTINCT nullif(agent_role, '')) = 1 THEN max(nullif(agent_role, '')) ELSE 'unknown' END AS role FROM subagent_meta GROUP BY id) GROUP BY 1",
+    "a30_anonymous_requests": REC + " SELECT file_path, turn_id, count(DISTINCT ns) AS requests FROM r WHERE rec_type = 'token_usage_record' AND readable AND coalesce(response_id, '') = '' GROUP BY ALL",
+    "a39_coverage": "SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE coalesce(trim({c}), '') = '') AS {n}" for c, n in (("id", "no_id"), ("parent_id", "no_parent"), ("agent_role", "no_role"))) + ", count(*) FILTER (WHERE depth IS NULL) AS no_depth, count(*) FILTER (WHERE has_depth AND depth IS NULL) AS depth_lost FROM subagent_meta",
 }
