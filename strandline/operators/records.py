@@ -20,6 +20,16 @@ def integer(c: Column) -> Column:
     return F.when(c.rlike(r"^-?\d{1,18}$"), c.cast("bigint"))
 
 
+def content_texts(v: Column, path: str, kind: str) -> Column:
+    """The non-empty texts of the parts of one type in the content array at ``path``, in order; none if a part or its type or text has another JSON type, as then the reference reads no record."""
+    parts = F.try_variant_get(v, path, "array<variant>")
+    is_a = lambda x, *names: F.coalesce(F.schema_of_variant(x), F.lit("VOID")).rlike(f"^({'|'.join(names)})")
+    field = lambda x, name: F.try_variant_get(x, f"$.{name}", "variant")
+    sound = F.forall(parts, lambda x: is_a(x, "VOID") | is_a(x, "OBJECT") & is_a(field(x, "type"), "STRING", "VOID") & is_a(field(x, "text"), "STRING", "VOID"))
+    texts = F.transform(F.filter(parts, lambda x: F.try_variant_get(x, "$.type", "string") == kind), lambda x: F.try_variant_get(x, "$.text", "string"))
+    return F.when(sound, F.filter(texts, lambda t: t != ""))
+
+
 def decode(records: DataFrame) -> DataFrame:
     """``records``: (record_id, file_path, line_no, rec_ts, rec_type, payload). The payload is parsed once, into a variant."""
     v = F.try_parse_json(F.col("payload"))
@@ -30,10 +40,14 @@ def decode(records: DataFrame) -> DataFrame:
     numbers = {n: integer(text(n)) for n in ("duration_ms", "time_to_first_token_ms")}
     usage = {n: integer(text(f"usage.{n}")) for n in USAGE}
     counter = integer(text("info.total_token_usage.total_tokens"))
+    said = F.array_join(content_texts(F.col("v"), "$.content", "input_text"), "")
+    kinds = F.try_variant_get("v", "$.internal_chat_message_metadata_passthrough.content_item_kinds", "array<string>")
     return rows.select(
         "file_path", "line_no", "record_id", "readable", instant_ns(F.col("rec_ts")).alias("ns"), F.col("rec_type"), text("type").alias("kind"),
         *(c.alias(n) for n, c in fields.items()), *(c.alias(n) for n, c in numbers.items()), *(c.alias(n) for n, c in usage.items()),
         counter.alias("counter"), text("info").isNotNull().alias("has_info"), F.col("payload"),
+        F.when(text("item.type") == "UserMessage", F.get(content_texts(F.col("v"), "$.item.content", "text"), F.lit(0))).alias("completed_text"),
+        F.when((text("role") == "user") & F.array_contains(kinds, "user.text") & (said != ""), said).alias("input_text"), text("internal_chat_message_metadata_passthrough.turn_id").alias("input_turn_id"),
     )
 
 

@@ -54,9 +54,19 @@ def turns(records: DataFrame) -> DataFrame:
 
 
 def interactions(records: DataFrame) -> DataFrame:
-    """(file_path, seq, turn_id, start_ns, status, prompt, answer): like turns, but an open one is kept and a repeated start of the same non-empty id is none."""
+    """(file_path, seq, turn_id, start_ns, status, prompt, answer): like turns, but an open one is kept and a repeated start of the same non-empty id is none.
+
+    The prompt is the last text of a completed user item of the same turn id, else the first of the user_message
+    events, whatever their id, and of the response items of the same turn id with user text.
+    """
     start, end = _is("task_started"), _is("task_complete", "turn_aborted")
-    rows = records.where("readable").withColumn("is_start", start).withColumn("is_end", end)
+    # only starts, ends and rows with user text count, and of them only these columns are shuffled
+    legacy = F.when(_is("user_message") & (F.col("message") != ""), F.col("message"))
+    response = F.when((F.col("rec_type") == "response_item") & (F.col("kind") == "message"), F.col("input_text"))
+    completed = F.when(_is("item_completed"), F.col("completed_text"))
+    answer = F.when(_is("task_complete"), F.get_json_object("payload", "$.last_agent_message"))
+    rows = records.where("readable").select("file_path", "line_no", "record_id", "ns", "kind", "turn_id", start.alias("is_start"), end.alias("is_end"), legacy.alias("legacy"), response.alias("response"), F.when(response.isNotNull(), F.col("input_turn_id")).alias("input_turn_id"), completed.alias("completed"), answer.alias("answer"))
+    rows = rows.where("is_start or is_end or coalesce(legacy, response, completed) is not null")
     edges = rows.where("is_start or is_end").withColumn("before_end", F.lag("is_end").over(in_file())).withColumn("before_id", F.lag("turn_id").over(in_file()))
     fresh = F.col("is_start") & (F.col("before_end").isNull() | F.col("before_end") | (F.coalesce("turn_id", F.lit("")) == "") | ~F.col("turn_id").eqNullSafe(F.col("before_id")))
     flags = edges.select("file_path", "line_no", "record_id", fresh.alias("fresh"))
@@ -66,9 +76,11 @@ def interactions(records: DataFrame) -> DataFrame:
     rows = rows.withColumn("closed", F.coalesce(F.sum(F.col("is_end").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.withColumn("open_id", F.first("turn_id").over(inside.rowsBetween(Window.unboundedPreceding, 0))).where("closed = 0")
     at = F.struct("line_no", "record_id")
-    prompt = F.when(_is("user_message") & (F.col("message") != ""), F.col("message"))
-    answer = F.when(F.col("is_end") & (F.col("kind") == "task_complete"), F.get_json_object("payload", "$.last_agent_message"))
-    out = rows.groupBy("file_path", "seg").agg(F.min_by("open_id", at).alias("turn_id"), F.min_by("ns", at).alias("start_ns"), F.min_by(F.when(F.col("is_end"), F.col("kind")), F.when(F.col("is_end"), at)).alias("end_kind"), F.min_by(prompt, F.when(prompt.isNotNull(), at)).alias("prompt"), F.min_by(answer, F.when(answer.isNotNull(), at)).alias("answer"))
+    same = lambda c: F.coalesce(c, F.lit("")) == F.coalesce("open_id", F.lit(""))
+    completed = F.when(same("turn_id"), F.col("completed"))
+    prompt = F.coalesce("legacy", F.when(same("input_turn_id"), F.col("response")))
+    answer = F.when(F.col("is_end"), F.col("answer"))
+    out = rows.groupBy("file_path", "seg").agg(F.min_by("open_id", at).alias("turn_id"), F.min_by("ns", at).alias("start_ns"), F.min_by(F.when(F.col("is_end"), F.col("kind")), F.when(F.col("is_end"), at)).alias("end_kind"), F.coalesce(F.max_by(completed, F.when(completed.isNotNull(), at)), F.min_by(prompt, F.when(prompt.isNotNull(), at))).alias("prompt"), F.min_by(answer, F.when(answer.isNotNull(), at)).alias("answer"))
     status = F.when(F.col("end_kind") == "task_complete", "complete").when(F.col("end_kind") == "turn_aborted", "aborted").otherwise("incomplete")
     return out.select("file_path", F.col("seg").cast("int").alias("seq"), "turn_id", "start_ns", status.alias("status"), F.coalesce("prompt", F.lit("")).alias("prompt"), F.coalesce("answer", F.lit("")).alias("answer"))
 
