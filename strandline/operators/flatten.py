@@ -235,3 +235,23 @@ def pivot_table(triples_df: DataFrame, table_path: str, fields: list[str], key:
     rows = triples_df.where(F.col("table_path") == table_path)
     part = lambda f: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("field") == f) & F.col("value").isNotNull(), F.struct("ordinal", "value")))), lambda x: x["value"]), "\n")
     return rows.groupBy(key, "node_path", "parent_path").agg(*(F.when(F.max(F.when((F.col("field") == f) & F.col("value").isNotNull(), F.lit(1))) == 1, part(f)).alias(f) for f in fields))
+
+
+def flat_tables(triples_df: DataFrame, key: str = "record_id") -> DataFrame:
+    """(key, table_path, node_path, parent_path, fields): every group of the catalogue pivoted, a row for each object with all its fields.
+
+    ``fields`` maps each field that holds a scalar to its text as in :func:`pivot_table`; a field that is null, or holds
+    only objects, is none. The groups differ in their columns and their number has no bound, so the columns are a map.
+    """
+    cell = F.when((F.col("kind") != "empty") & F.col("value").isNotNull(), F.struct("field", "ordinal", "value"))
+    cells = F.array_sort(F.collect_list(cell))
+    text = lambda c, f: F.array_join(F.transform(F.filter(c, lambda x: x["field"] == f), lambda x: x["value"]), "\n")
+    rows = triples_df.groupBy(key, "table_path", "node_path", "parent_path").agg(cells.alias("c"))
+    names = F.array_distinct(F.transform("c", lambda x: x["field"]))
+    return rows.select(key, "table_path", "node_path", "parent_path", F.map_from_arrays(names, F.transform(names, lambda f: text(F.col("c"), f))).alias("fields"))
+
+
+def objects(triples_df: DataFrame, key: str = "record_id") -> DataFrame:
+    """(key, node_path, parent_path): the repeated ancestors of the triples, each once; the payload itself is none, but an object in a field without a name is."""
+    unnamed = (F.col("table_path") == "") & (F.col("field") == "") & (F.col("ordinal") == -1) & (F.col("kind") == "object")
+    return triples_df.where((F.col("node_path") != "") | unnamed).select(key, "node_path", "parent_path").distinct()

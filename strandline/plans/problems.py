@@ -35,7 +35,7 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.nested_objects(table(spark, d, "rollout_records"))
+    return flatten.objects(flatten.path_triples(table(spark, d, "rollout_records")))
 
 
 def p3_triples(spark: SparkSession, d: str) -> DataFrame:
@@ -46,6 +46,10 @@ def p3_catalogue(spark: SparkSession, d: str) -> DataFrame:
     return flatten.table_catalogue(flatten.path_triples(table(spark, d, "rollout_records")))
 
 
+def p3_tables(spark: SparkSession, d: str) -> DataFrame:
+    return flatten.flat_tables(flatten.path_triples(table(spark, d, "rollout_records")))
+
+
 def p3_token_totals(spark: SparkSession, d: str) -> DataFrame:
     fields = ["input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens"]
     return flatten.pivot_table(flatten.path_triples(table(spark, d, "rollout_records")), "info.total_token_usage", fields)
@@ -65,7 +69,7 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.unified(lines, canonical, schema_drift.scripts(lines, canonical))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_triples, p3_catalogue, p3_token_totals, p3_spawns, p5_found, p5_unified)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_triples, p3_catalogue, p3_tables, p3_token_totals, p3_spawns, p5_found, p5_unified)}
 
 _CANON = "CASE WHEN regexp_matches(replace({0}, '-', ''), '^[0-9a-f]{{32}}$') THEN regexp_replace(replace({0}, '-', ''), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') WHEN {0} <> '' THEN {0} END"
 _BARE = r"regexp_replace(lower(regexp_replace({0}, '[\s{{}}()""'']+', '', 'g')), '^(urn:)?(uuid:)?', '')"
