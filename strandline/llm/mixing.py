@@ -27,7 +27,8 @@ TEMPER = 0.7
 
 
 def clean_source(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    """A source in one spelling: lower case, its words joined by ``_`` whatever stood between them (blanks, hyphens, underscores)."""
+    return F.lower(F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), r"(?U)[\s_\p{Pd}]+", "_"))
 
 
 def default_schedule(shares: dict[str, float]) -> dict[str, list[tuple[float, float]]]:

@@ -76,3 +76,10 @@ def test_empty(spark):
     assert T.vocabulary_path("x").endswith("x")
     with pytest.raises(FileNotFoundError):
         M.token_counts(d, path="/nowhere")
+
+
+def test_spellings_of_a_source(spark):
+    d = docs(spark, **{"agent_answers": [4] * 5, "agent-answers": [4] * 5, " Agent  Answers": [4] * 5, "b": [4] * 15})
+    t = targets(spark, ("agent_answers", 0.5, 1), ("b", 0.5, 1))
+    rows = M.mix(d, t).collect()
+    assert sorted(r.source for r in rows) == ["agent_answers"] * 15 + ["b"] * 15
