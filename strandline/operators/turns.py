@@ -30,7 +30,7 @@ def turns(records: DataFrame) -> DataFrame:
     """
     start, end = _is("task_started"), _is("task_complete", "turn_aborted")
     counter = F.when(_is("token_count") & F.col("has_info"), F.coalesce("counter", F.lit(0)))
-    rows = records.where("readable").withColumn("is_start", start).withColumn("is_end", end)
+    rows = records.where("turn_ok").withColumn("is_start", start).withColumn("is_end", end)
     rows = rows.withColumn("seg", F.sum(F.col("is_start").cast("int")).over(so_far())).withColumn("total", F.coalesce(F.last(counter, ignorenulls=True).over(so_far()), F.lit(0)))
     rows = rows.where("seg > 0").withColumn("last_seg", F.max("seg").over(Window.partitionBy("file_path")))
     inside = Window.partitionBy("file_path", "seg").orderBy("line_no", "record_id")
@@ -64,13 +64,14 @@ def interactions(records: DataFrame) -> DataFrame:
     legacy = F.when(_is("user_message") & (F.col("message") != ""), F.col("message"))
     response = F.when((F.col("rec_type") == "response_item") & (F.col("kind") == "message"), F.col("input_text"))
     completed = F.when(_is("item_completed"), F.col("completed_text"))
-    answer = F.when(_is("task_complete"), F.get_json_object("payload", "$.last_agent_message"))
-    rows = records.where("readable").select("file_path", "line_no", "record_id", "ns", "kind", "turn_id", start.alias("is_start"), end.alias("is_end"), legacy.alias("legacy"), response.alias("response"), F.when(response.isNotNull(), F.col("input_turn_id")).alias("input_turn_id"), completed.alias("completed"), answer.alias("answer"))
+    answer = F.when(_is("task_complete"), F.col("last_agent_message"))
+    rows = records.where("inter_ok").select("file_path", "line_no", "record_id", "ns", "kind", "turn_id", start.alias("is_start"), end.alias("is_end"), legacy.alias("legacy"), response.alias("response"), F.when(response.isNotNull(), F.col("input_turn_id")).alias("input_turn_id"), completed.alias("completed"), answer.alias("answer"))
     rows = rows.where("is_start or is_end or coalesce(legacy, response, completed) is not null")
-    edges = rows.where("is_start or is_end").withColumn("before_end", F.lag("is_end").over(in_file())).withColumn("before_id", F.lag("turn_id").over(in_file()))
-    fresh = F.col("is_start") & (F.col("before_end").isNull() | F.col("before_end") | (F.coalesce("turn_id", F.lit("")) == "") | ~F.col("turn_id").eqNullSafe(F.col("before_id")))
-    flags = edges.select("file_path", "line_no", "record_id", fresh.alias("fresh"))
-    rows = rows.join(flags, ["file_path", "line_no", "record_id"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+    # the start or end before a row, by the window that numbers the segments
+    edge = F.when(F.col("is_start") | F.col("is_end"), F.struct("is_end", F.coalesce("turn_id", F.lit("")).alias("id")))
+    rows = rows.withColumn("before", F.last(edge, ignorenulls=True).over(in_file().rowsBetween(Window.unboundedPreceding, -1)))
+    fresh = F.col("is_start") & (F.col("before").isNull() | F.col("before.is_end") | (F.coalesce("turn_id", F.lit("")) == "") | (F.col("turn_id") != F.col("before.id")))
+    rows = rows.withColumn("fresh", F.coalesce(fresh, F.lit(False)))
     rows = rows.withColumn("seg", F.sum(F.col("fresh").cast("int")).over(so_far())).where("seg > 0")
     inside = Window.partitionBy("file_path", "seg").orderBy("line_no", "record_id")
     rows = rows.withColumn("closed", F.coalesce(F.sum(F.col("is_end").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -86,11 +87,11 @@ def interactions(records: DataFrame) -> DataFrame:
 
 
 def followups(rows: DataFrame, group: str = "file_path", order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """(previous_turn_id, turn_id, previous_answer, prompt): neighbours of one file that are both complete, the later with a prompt that is not blank."""
+    """(group, order..., previous_turn_id, turn_id, previous_answer, prompt): neighbours of one file that are both complete, the later with a prompt that is not blank."""
     w = Window.partitionBy(group).orderBy(*order)
     prev = {c: F.lag(c).over(w).alias(f"previous_{c}") for c in ("turn_id", "answer", "status")}
-    pairs = rows.select(group, "turn_id", "prompt", "status", *prev.values())
-    return pairs.where((F.col("status") == "complete") & (F.col("previous_status") == "complete") & ~F.coalesce(F.col("prompt"), F.lit("")).rlike(r"(?U)^\s*$")).select("previous_turn_id", "turn_id", "previous_answer", "prompt")
+    pairs = rows.select(group, *order, "turn_id", "prompt", "status", *prev.values())
+    return pairs.where((F.col("status") == "complete") & (F.col("previous_status") == "complete") & ~F.coalesce(F.col("prompt"), F.lit("")).rlike(r"(?U)^\s*$")).select(group, *order, "previous_turn_id", "turn_id", "previous_answer", "prompt")
 
 
 def totals(t: DataFrame) -> DataFrame:

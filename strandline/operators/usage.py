@@ -1,4 +1,4 @@
-"""Token usage: validity, deltas, request merging and attribution to models."""
+"""Token usage: validity and totals."""
 
 from __future__ import annotations
 
@@ -15,14 +15,16 @@ def filled_total() -> Column:
     return F.coalesce("total_tokens", F.try_add("input_tokens", "output_tokens"))
 
 
-def is_valid(total: Column) -> Column:
-    """No negative part, a total that input and output add up to, no part above the total, cached within input, reasoning within output. Absent is not 0."""
+def is_valid(total: Column, of: str = "") -> Column:
+    """No negative part, a total that input and output add up to, no part above the total, cached within input, reasoning within output. Absent is not 0. ``of``: prefix of the parts' names."""
+    part = {p: F.col(of + p) for p in PARTS}
     ok = total.isNotNull() & (total >= 0)
     for p in PARTS:
-        ok = ok & F.coalesce((F.col(p) >= 0) & (F.col(p) <= total), F.lit(True))
-    both = F.col("input_tokens").isNotNull() & F.col("output_tokens").isNotNull()
-    ok = ok & F.when(both, F.coalesce(F.try_add("input_tokens", "output_tokens") == total, F.lit(False))).otherwise(True)
-    return ok & F.coalesce(F.col("cached_input_tokens") <= F.col("input_tokens"), F.lit(True)) & F.coalesce(F.col("reasoning_output_tokens") <= F.col("output_tokens"), F.lit(True))
+        ok = ok & F.coalesce((part[p] >= 0) & (part[p] <= total), F.lit(True))
+    both = part["input_tokens"].isNotNull() & part["output_tokens"].isNotNull()
+    ok = ok & F.when(both, F.coalesce(F.try_add(part["input_tokens"], part["output_tokens"]) == total, F.lit(False))).otherwise(True)
+    within = lambda a, b: F.coalesce(part[a] <= part[b], F.lit(True))
+    return F.coalesce(ok & within("cached_input_tokens", "input_tokens") & within("reasoning_output_tokens", "output_tokens"), F.lit(False))
 
 
 def validated(usage: DataFrame) -> DataFrame:
@@ -30,67 +32,7 @@ def validated(usage: DataFrame) -> DataFrame:
     return usage.withColumn("total_tokens", filled_total()).withColumn("valid", is_valid(F.col("total_tokens")))
 
 
-def delta(last: str, first: str) -> list[Column]:
-    """Component-wise difference of two structs of counters; missing stays missing, a decrease makes it null."""
-    return [F.when(F.col(f"{last}.{p}") >= F.col(f"{first}.{p}"), F.col(f"{last}.{p}") - F.col(f"{first}.{p}")).alias(p) for p in USAGE]
-
-
-def requests(records: DataFrame) -> DataFrame:
-    """(file_path, turn_id, response_id, parts..., valid, copies): usage records of one response merged.
-
-    A request is valid if every record of it is, no component disagrees between records, one thread owns it
-    and no other turn or file has the same response id; the merged components must be valid once more.
-    """
-    rows = validated(records.where("rec_type = 'token_usage_record' and readable and response_id is not null and response_id <> ''"))
-    owners = rows.groupBy("response_id").agg(F.countDistinct("file_path", F.coalesce("turn_id", F.lit(""))).alias("owners"))
-    same = [F.coalesce(F.min(p) == F.max(p), F.lit(True)) for p in USAGE]
-    agree = same[0]
-    for s in same[1:]:
-        agree = agree & s
-    one = rows.groupBy("file_path", "turn_id", "response_id").agg(*(F.max(p).alias(p) for p in USAGE), F.min("valid").alias("all_valid"), agree.alias("agree"), F.countDistinct("thread_id").alias("threads"), F.count("*").alias("copies"))
-    merged = one.join(owners, "response_id").withColumn("valid", F.col("all_valid") & F.col("agree") & (F.col("threads") <= 1) & (F.col("owners") == 1) & is_valid(F.col("total_tokens")))
-    return merged.select("file_path", "turn_id", "response_id", *USAGE, "valid", "copies")
-
-
 def usage_totals(rows: DataFrame, *keys: str) -> DataFrame:
-    """Sums of valid usage by ``keys``: known and missing counts a component, totals null on overflow. Only inclusive totals are added up."""
-    return rows.where("valid").groupBy(*keys).agg(F.count("*").alias("requests"), *(F.try_sum(p).alias(p) for p in USAGE), *(F.count_if(F.col(p).isNull()).alias(f"missing_{p}") for p in USAGE))
-
-
-def model_at(requests_df: DataFrame, settings: DataFrame) -> DataFrame:
-    """As-of join: the model set last at or before each request (file_path, turn_id, ns); ``unknown`` if none or if two models were set at that instant."""
-    s = settings.select("file_path", "turn_id", F.col("ns").alias("set_ns"), "model")
-    joined = requests_df.select("file_path", "turn_id", "record_id", "ns").join(s, ["file_path", "turn_id"], "left").where("set_ns is null or set_ns <= ns or ns is null")
-    before = F.when(F.col("set_ns") <= F.col("ns"), F.col("set_ns"))
-    last = joined.groupBy("record_id", "ns").agg(F.max(before).alias("at"), F.collect_set(F.when(before.isNotNull(), F.struct("set_ns", "model"))).alias("sets"))
-    models = F.array_distinct(F.transform(F.filter("sets", lambda x: x["set_ns"] == F.col("at")), lambda x: x["model"]))
-    got = last.select("record_id", F.when(F.size(models) == 1, models[0]).otherwise("unknown").alias("model"))
-    return requests_df.select("record_id").join(got, "record_id", "left").select("record_id", F.coalesce("model", F.lit("unknown")).alias("model"))
-
-
-def single_model(settings: DataFrame) -> DataFrame:
-    """(file_path, turn_id, model): the only non-empty model of a turn's settings, else ``unknown``."""
-    return settings.groupBy("file_path", "turn_id").agg(F.when((F.count_distinct("model") == 1) & (F.count_if(F.coalesce("model", F.lit("")) == "") == 0), F.max("model")).otherwise("unknown").alias("model"))
-
-
-def tool_ids(calls: DataFrame) -> DataFrame:
-    """(file_path, tools, lower_bound): distinct call ids, and whether a call without id makes that a lower bound."""
-    return calls.groupBy("file_path").agg(F.count_distinct(F.nullif(F.col("call_id"), F.lit(""))).alias("tools"), F.max(F.coalesce("call_id", F.lit("")) == "").alias("lower_bound"))
-
-
-def resolved_terminals(records: DataFrame) -> DataFrame:
-    """(file_path, turn_id, end_ns, status, conflict): the latest terminal at or after the start of each turn; two statuses at that instant conflict."""
-    ev = records.where("rec_type = 'event_msg' and readable and ns is not null and turn_id is not null")
-    starts = ev.where("kind = 'task_started'").groupBy("file_path", "turn_id").agg(F.min("ns").alias("start_ns"))
-    ends = ev.where("kind in ('task_complete', 'turn_aborted')").select("file_path", "turn_id", "ns", "kind").join(starts, ["file_path", "turn_id"]).where("ns >= start_ns")
-    latest = ends.groupBy("file_path", "turn_id", "ns").agg(F.count_distinct("kind").alias("kinds"), F.max("kind").alias("kind"))
-    top = latest.groupBy("file_path", "turn_id").agg(F.max_by(F.struct("ns", "kinds", "kind"), "ns").alias("x"))
-    return top.select("file_path", "turn_id", F.col("x.ns").alias("end_ns"), F.when(F.col("x.kinds") > 1, None).when(F.col("x.kind") == "task_complete", "complete").otherwise("aborted").alias("status"), (F.col("x.kinds") > 1).alias("conflict"))
-
-
-def reconciled_children(meta: DataFrame) -> DataFrame:
-    """(id, files, parent_conflict, role_conflict, depth_conflict, role): copies of one agent's metadata held against each other; a conflicting or empty role is ``unknown``."""
-    many = lambda c: F.count_distinct(F.struct(c)) > 1
-    role = F.nullif(F.col("agent_role"), F.lit(""))
-    rows = meta.withColumn("role", role)
-    return rows.groupBy("id").agg(F.count_distinct("file_path").alias("files"), many("parent_id").alias("parent_conflict"), many("role").alias("role_conflict"), many("depth").alias("depth_conflict"), F.when(F.count_distinct("role") == 1, F.max("role")).otherwise("unknown").alias("role"))
+    """Sums of usage by ``keys``: requests, the inclusive total (null where 64 bits do not hold it) and the parts, null where a row lacks the part. Parts are never added to the total again."""
+    parts = [F.when(F.count_if(F.col(p).isNull()) == 0, F.try_sum(p)).alias(p) for p in PARTS]
+    return rows.groupBy(*keys).agg(F.count("*").alias("requests"), *parts, F.try_sum("total_tokens").alias("total_tokens"))

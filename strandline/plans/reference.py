@@ -17,6 +17,7 @@ from strandline.operators import labels as L
 from strandline.operators import records as R
 from strandline.operators import turns as T
 from strandline.operators import usage as U
+from strandline.session import cut
 from strandline.sources.tables import table
 
 #: The window of the windowed queries: all of 2025, as nanoseconds.
@@ -42,14 +43,24 @@ def _pick(c: Column, at: int, values: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), F.ascii(F.substring(F.md5(c), at, 1)) % len(values) + 1)
 
 
-def _labels(spark: SparkSession, d: str) -> DataFrame:
-    t = _turns(spark, d).where("turn_id is not null").select("turn_id").distinct()
-    k = F.col("turn_id")
-    return t.select("turn_id", _pick(k, 1, G.TASK_TYPES).alias("task_type"), _pick(k, 2, G.FOLLOWUP_LABELS).alias("followup_label"), _pick(k, 3, G.STEERING_REASONS).alias("steering_reason"))
+#: Of eight equal parts of the turns, the task types they get.
+_TYPES = (*["bugfix"] * 5, *["tests"] * 2, "other")
+
+
+def stand_in_labels(t: DataFrame) -> DataFrame:
+    """(turn_id, every label) of the turns by the rule: most turns are of one type, so that cohorts are large enough to compare. Follow-on labels are there where their mechanism is."""
+    k, at = F.col("turn_id"), lambda n: F.ascii(F.substring(F.md5("turn_id"), n, 1))
+    ids = t.where("turn_id <> ''").select("turn_id").distinct()
+    kind = F.element_at(F.array(*map(F.lit, _TYPES)), at(1) % 8 + 1)
+    steering = _pick(k, 2, G.FOLLOWUP_LABELS) == "steering"
+    ms = F.when(steering, F.slice(F.array(*map(F.lit, G.MECHANISMS)), 1, at(5) % 5))
+    rows = ids.select("turn_id", kind.alias("task_type"), _pick(k, 2, G.FOLLOWUP_LABELS).alias("followup_label"), F.when(steering, _pick(k, 3, G.STEERING_REASONS)).alias("steering_reason"), ms.alias("prevention_mechanisms"))
+    return rows.select("*", *(F.when(F.array_contains("prevention_mechanisms", m), _pick(k, 6 + n, G.SETS[f])).alias(f) for n, (f, m) in enumerate(G.MECHANISM_OF.items())))
 
 
 def _obs(spark: SparkSession, d: str) -> DataFrame:
-    return E.observations(_turns(spark, d), _labels(spark, d))
+    t = cut(_turns(spark, d))  # read twice: for the turns and for the ids that get labels
+    return E.observations(t, stand_in_labels(t))
 
 
 @query
@@ -59,12 +70,12 @@ def s3_decode(spark, d):
 
 @query
 def s4_first_meta(spark, d):
-    return R.first_meta(_rec(spark, d))
+    return R.first_meta(table(spark, d, "rollout_records"))
 
 
 @query
 def s5_child_meta(spark, d):
-    return R.child_meta(_rec(spark, d))
+    return R.child_meta(table(spark, d, "rollout_records"))
 
 
 @query
@@ -96,7 +107,7 @@ def f4_user_sessions(spark, d):
 
 @query
 def f5_unmarked(spark, d):
-    return R.without_marked_files(_rec(spark, d), "token tally").groupBy("file_path").agg(F.count("*").alias("n"))
+    return R.without_marked_files(table(spark, d, "rollout_records"), "token tally").groupBy("file_path").agg(F.count("*").alias("n"))
 
 
 @query
@@ -129,7 +140,7 @@ def q6_interactions(spark, d):
 
 @query
 def q8_followups(spark, d):
-    return T.followups(T.interactions(_rec(spark, d)))
+    return T.followups(T.interactions(_rec(spark, d))).select("previous_turn_id", "turn_id", "previous_answer", "prompt")
 
 
 @query
@@ -186,51 +197,12 @@ def a10_mechanisms(spark, d):
     return E.mechanism_shares(table(spark, d, "cases"))
 
 
-@query
-def a11_reasons(spark, d):
-    return E.label_shares(table(spark, d, "cases"), "steering_reason", drop=("other",), least=2)
-
-
 @query
 def j1_observations(spark, d):
     o = _obs(spark, d)
     return o.select("turn_id", "task_type", "steering", "tokens", F.round("seconds", 6).alias("seconds"), "tools", "model", "effort", "uses")
 
 
-@query
-def j5_steering_cases(spark, d):
-    c = table(spark, d, "cases")
-    steer = c.where("followup_label = 'steering'").select("case_id")
-    return c.join(steer, "case_id", "left_semi").where(F.array_contains("prevention_mechanisms", "validation")).select("case_id", "task_type")
-
-
-@query
-def j6_cache_pending(spark, d):
-    c = table(spark, d, "cases").select(F.col("case_id").alias("turn_id"), F.coalesce("prompt", F.lit("")).alias("prompt"), "previous_answer", F.col("followup_prompt").alias("followup"))
-    keyed = c.withColumn("cache_key", L.cache_key("m", "low"))
-    held = keyed.where(F.substring("turn_id", -1, 1).isin("0", "2", "4", "6", "8")).select("cache_key")
-    return L.pending(keyed, held).select("turn_id", "cache_key")
-
-
-@query
-def j8_model_at(spark, d):
-    r = _rec(spark, d).where("readable and turn_id is not null")
-    reqs = r.where("rec_type = 'token_usage_record'").select("file_path", "turn_id", "record_id", "ns")
-    return U.model_at(reqs, r.where("rec_type = 'turn_context' and ns is not null and model <> ''"))
-
-
-@query
-def j11_turn_sessions(spark, d):
-    i = table(spark, d, "interactions").where("turn_id <> ''")
-    return i.groupBy("turn_id").agg(F.when(F.count_distinct("session_id") == 1, F.min("session_id")).otherwise("").alias("session_id"))
-
-
-@query
-def j12_response_owners(spark, d):
-    r = _rec(spark, d).where("rec_type = 'token_usage_record' and readable and response_id <> ''")
-    return r.groupBy("response_id").agg(F.count_distinct("file_path", F.coalesce("turn_id", F.lit(""))).alias("owners"))
-
-
 @query
 def a12_overall(spark, d):
     return E.overall(_obs(spark, d))
@@ -257,169 +229,233 @@ def a16_agents_by_type(spark, d):
 
 
 @query
-def a17_cohorts(spark, d):
-    return E.cohorts(_obs(spark, d))
+def a20_coverage(spark, d):
+    return E.coverage_mean(_rec(spark, d).where("rec_type = 'token_usage_record' and readable"), "total_tokens", "file_path")
 
 
 @query
-def a18_routing(spark, d):
-    return E.routing_cohorts(_obs(spark, d))
+def a46_validated(spark, d):
+    u = U.validated(_rec(spark, d).where("rec_type = 'token_usage_record' and readable"))
+    return u.select("record_id", *USAGE, "valid")
+
+
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    """Golden cases; the four follow-on labels that the table lacks are there where their mechanism is, by the rule."""
+    c = table(spark, d, "cases")
+    return c.select("*", *(F.when(F.array_contains("prevention_mechanisms", m), _pick(F.col("case_id"), 6 + n, G.SETS[f])).alias(f) for n, (f, m) in enumerate(G.MECHANISM_OF.items())))
+
+
+def _golden(spark: SparkSession, d: str) -> DataFrame:
+    """(case_id, expected, predicted): of the predictions a part is wrong by the rule."""
+    c, k = _cases(spark, d), F.col("case_id")
+    at = lambda n: F.ascii(F.substring(F.md5("case_id"), n, 1))
+    said = [F.when(at(10 + n) % 4 == 0, _pick(k, 1 + n, v)).otherwise(F.col(f)).alias(f) for n, (f, v) in enumerate(G.SETS.items())]
+    ms = F.when(at(9) % 2 == 0, F.col("prevention_mechanisms")).otherwise(F.slice(F.array(*map(F.lit, G.MECHANISMS)), 1, at(5) % 5))
+    return c.select("case_id", F.struct(*G.FIELDS, "prevention_mechanisms").alias("expected"), F.struct(*said, ms.alias("prevention_mechanisms")).alias("predicted"))
 
 
 @query
-def a20_coverage(spark, d):
-    return E.coverage_mean(_rec(spark, d).where("rec_type = 'token_usage_record' and readable"), "total_tokens", "file_path")
+def a33_accuracy(spark, d):
+    return G.accuracy(_golden(spark, d))
 
 
 @query
-def a24_usage_totals(spark, d):
-    return U.usage_totals(U.requests(_rec(spark, d)), "file_path")
+def a34_confusion(spark, d):
+    return G.confusion(_golden(spark, d))
 
 
 @query
-def a25_requests(spark, d):
-    return U.requests(_rec(spark, d))
+def a35_micro(spark, d):
+    return G.micro_scores(_golden(spark, d))
 
 
 @query
-def a31_tools(spark, d):
-    return U.tool_ids(_rec(spark, d).where(R.is_tool_call()))
+def a38_top_reason(spark, d):
+    return E.top_label(table(spark, d, "cases"), "steering_reason", drop=("other",))
 
 
 @query
-def a32_single_model(spark, d):
-    return U.single_model(_rec(spark, d).where("rec_type = 'turn_context' and readable"))
+def r1_hypothesis(spark, d):
+    return E.routing_hypothesis(_obs(spark, d))
 
 
 @query
-def a40_copies(spark, d):
-    m = table(spark, d, "subagent_meta")
-    return U.reconciled_children(m)
+def o6_extremes(spark, d):
+    return E.extremes(_obs(spark, d))
+
+
+def _inputs(spark: SparkSession, d: str) -> DataFrame:
+    i = cut(T.interactions(_rec(spark, d)))  # read for the tasks and for their follow-ups
+    return L.inputs(i, T.followups(i))
 
 
 @query
-def a42_terminals(spark, d):
-    return U.resolved_terminals(_rec(spark, d))
+def c1_inputs(spark, d):
+    return _inputs(spark, d)
 
 
 @query
-def a46_validated(spark, d):
-    u = U.validated(_rec(spark, d).where("rec_type = 'token_usage_record' and readable"))
-    return u.select("record_id", *USAGE, "valid")
+def c1_problems(spark, d):
+    return L.input_problems(_inputs(spark, d))
 
 
 @query
-def a47_counter_steps(spark, d):
-    r = _rec(spark, d).where("kind = 'token_count' and counter is not null").withColumn("prev", F.lag("counter").over(T.in_file()))
-    return r.where("prev is not null").select("record_id", F.when(F.col("counter") >= F.col("prev"), F.col("counter") - F.col("prev")).alias("step"))
+def c5_cache_keys(spark, d):
+    return _inputs(spark, d).select("turn_id", L.cache_key("m", "low").alias("cache_key"))
 
 
-def _golden(spark, d):
-    c = table(spark, d, "cases").where("task_type is not null")
-    k = F.col("case_id")
-    predicted = F.struct(F.when(F.ascii(F.substring(F.md5(k), 4, 1)) % 4 == 0, _pick(k, 1, G.TASK_TYPES)).otherwise(F.col("task_type")).alias("task_type"), F.col("followup_label").alias("followup_label"), _pick(k, 3, G.STEERING_REASONS).alias("steering_reason"), F.slice(F.array(*map(F.lit, G.MECHANISMS)), 1, F.ascii(F.substring(F.md5(k), 5, 1)) % 4).alias("prevention_mechanisms"))
-    return c.select("case_id", F.struct("task_type", "followup_label", "steering_reason", "prevention_mechanisms").alias("expected"), predicted.alias("predicted"))
+@query
+def j6_cache_pending(spark, d):
+    keyed = _inputs(spark, d).withColumn("cache_key", L.cache_key("m", "low"))
+    held = keyed.where(F.substring("turn_id", -1, 1).isin("0", "2", "4", "6", "8")).select("cache_key")
+    return L.pending(keyed, held).select("turn_id", "cache_key")
+
+
+def _case_inputs(spark: SparkSession, d: str) -> DataFrame:
+    later = F.nullif("followup_prompt", F.lit(""))
+    return table(spark, d, "cases").select(F.col("case_id").alias("turn_id"), F.coalesce("prompt", F.lit("")).alias("prompt"), F.when(later.isNotNull(), F.concat("case_id", F.lit("-followup"))).alias("followup_id"), later.alias("followup"), F.when(later.isNotNull(), F.coalesce("previous_answer", F.lit(""))).alias("previous_answer"))
 
 
 @query
-def a33_accuracy(spark, d):
-    return G.accuracy(_golden(spark, d))
+def c6_labels(spark, d):
+    return L.label(_case_inputs(spark, d).where("prompt <> '' or followup is not null"), L.rule_labeler)
 
 
 @query
-def a34_confusion(spark, d):
-    return G.confusion(_golden(spark, d))
+def c11_violations(spark, d):
+    """The labels of the cases themselves, held against the contract of results; confidences are 1 where a label is."""
+    c = _cases(spark, d)
+    own = c.select(F.col("case_id").alias("turn_id"), *G.FIELDS, "prevention_mechanisms", *(F.when(F.col(f).isNotNull(), F.lit(1.0)).alias(x) for f, x in L.CONFIDENCE.items()), F.coalesce(F.size("prevention_mechanisms") == 0, F.lit(False)).alias("not_preventable"), F.when(F.size("prevention_mechanisms") > 0, F.lit(1.0)).alias("prevention_confidence"))
+    return L.result_violations(_case_inputs(spark, d).join(own, "turn_id"))
 
 
 @query
-def a35_micro(spark, d):
-    return G.micro_scores(_golden(spark, d))
+def c12_views(spark, d):
+    views = L.result_views(c6_labels(spark, d))
+    out = [v.select(F.lit(n).alias("view"), "turn_id") for n, v in views.items()]
+    whole = out[0]
+    for o in out[1:]:
+        whole = whole.unionByName(o)
+    return whole.groupBy("view").agg(F.count("*").alias("n"))
 
 
 @query
-def a37_guard(spark, d):
-    t = T.averages(_turns(spark, d))
-    snap = t.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in t.columns))).alias("x")).select("x.*")
-    want = spark.createDataFrame([("mean_tokens", 1000.0, 0.0), ("mean_seconds", 200.0, 1000.0), ("mean_tools", 1.0, 0.1), ("absent", 1.0, 1.0)], "metric string, expected double, tolerance double")
-    return G.guard(snap, want)
+def c16_classifier_cases(spark, d):
+    """Of each single-label classifier the cases it takes with their cache keys; labels are the cases' own."""
+    rows, labels, whole = _case_inputs(spark, d), _cases(spark, d).withColumnRenamed("case_id", "turn_id").select("turn_id", "followup_label", "prevention_mechanisms"), None
+    for c in L.CLASSIFIERS.values():
+        one = L.classifier_cases(c, rows, labels).select(F.lit(c.name).alias("classifier"), "turn_id", L.classifier_key(c).alias("cache_key"))
+        whole = one if whole is None else whole.unionByName(one)
+    return whole
 
 
 @query
-def a38_top_reason(spark, d):
-    return E.top_label(table(spark, d, "cases"), "steering_reason", drop=("other",))
+def j5_cascade(spark, d):
+    return c16_classifier_cases(spark, d).groupBy("classifier").agg(F.count("*").alias("cases"))
 
 
 @query
-def r1_hypothesis(spark, d):
-    return E.routing_hypothesis(_obs(spark, d))
+def j14_in_order(spark, d):
+    """Labels of the cases in their order; every third case has none, and is marked."""
+    c = table(spark, d, "cases").select(F.col("case_id").alias("turn_id"), F.expr("cast(substr(case_id, 6) as bigint)").alias("input_idx"), "task_type")
+    return L.in_order(c.select("turn_id", "input_idx"), c.where("input_idx % 3 <> 0").select("turn_id", "task_type")).select("input_idx", "turn_id", "task_type", "found")
 
 
 @query
-def r3_comparable(spark, d):
-    return E.comparable(E.routing_cohorts(_obs(spark, d)))
+def c24_redacted(spark, d):
+    c = table(spark, d, "cases")
+    return c.select("case_id", *(G.redact(F.col(x)).alias(x) for x in ("prompt", "previous_answer", "followup_prompt")))
 
 
 @query
-def o6_extremes(spark, d):
-    return E.extremes(_obs(spark, d))
+def c25_candidates(spark, d):
+    return G.candidates(_inputs(spark, d))
 
 
 @query
-def c1_inputs(spark, d):
-    i = T.interactions(_rec(spark, d))
-    return L.inputs(i.where("turn_id is not null").groupBy("turn_id").agg(F.max("prompt").alias("prompt")), T.followups(i).where("previous_turn_id is not null")).select("turn_id", F.length("prompt").alias("prompt_length"), "followup")
+def c26_violations(spark, d):
+    return G.violations(_cases(spark, d))
 
 
 @query
-def c5_cache_keys(spark, d):
-    c = table(spark, d, "cases").select(F.col("case_id").alias("turn_id"), F.coalesce("prompt", F.lit("")).alias("prompt"), "previous_answer", F.col("followup_prompt").alias("followup"))
-    return c.select("turn_id", L.cache_key("m", "low").alias("cache_key"))
+def j7_problems(spark, d):
+    """Results of the cases with some left out and some given twice, held against the cases."""
+    c = table(spark, d, "cases").select("case_id")
+    last = F.substring("case_id", -1, 1)
+    return G.result_problems(c, c.where(last != "3").unionByName(c.where(last == "7")))
 
 
 @query
-def c6_labels(spark, d):
-    c = table(spark, d, "cases").select(F.col("case_id").alias("turn_id"), F.coalesce("prompt", F.lit("")).alias("prompt"), "previous_answer", F.col("followup_prompt").alias("followup"))
-    return L.label(c, L.rule_labeler)
+def j3_followup_labels(spark, d):
+    """Follow-ups with the labels of the turn before them; a turn id of two follow-ups and one without labels are problems."""
+    f = T.followups(T.interactions(_rec(spark, d))).where("previous_turn_id <> ''")
+    labels = stand_in_labels(f.select(F.col("previous_turn_id").alias("turn_id"))).where("substr(turn_id, -1, 1) <> '0'")
+    one = f.groupBy(F.col("previous_turn_id").alias("turn_id")).agg(F.count("*").alias("n")).join(labels, "turn_id", "left")
+    return one.select("turn_id", "task_type", "followup_label", F.when(F.col("n") > 1, "repeated").when(F.col("followup_label").isNull(), "no label").alias("problem"))
 
 
 @query
-def c24_redacted(spark, d):
-    return table(spark, d, "cases").select("case_id", G.redact(F.col("prompt")).alias("prompt"))
+def j4_type_and_label(spark, d):
+    """Follow-ups by the task type of the turn before them (inner), with the label where there is one: without one they do not steer."""
+    f = T.followups(T.interactions(_rec(spark, d))).where("previous_turn_id <> ''").select(F.col("previous_turn_id").alias("turn_id"))
+    labels = stand_in_labels(f)
+    rows = f.join(labels.select("turn_id", "task_type"), "turn_id").join(labels.where("substr(turn_id, -1, 1) <> '0'").select("turn_id", "followup_label"), "turn_id", "left")
+    return rows.groupBy("task_type").agg(F.count("*").alias("followups"), F.count_if(F.coalesce(F.col("followup_label") == "steering", F.lit(False))).alias("steering_n"))
+
+
+def _turn_labels(spark: SparkSession, d: str) -> DataFrame:
+    return stand_in_labels(_turns(spark, d))
 
 
 @query
-def c25_candidates(spark, d):
-    c = table(spark, d, "cases").where("prompt is not null").select(F.col("case_id").alias("turn_id"), "prompt", F.col("followup_prompt").alias("followup"))
-    return G.candidates(c)
+def a11_recommendations(spark, d):
+    """Prompt issues with ``other``, agents' rules without, skills without and met twice at least."""
+    t = _turn_labels(spark, d)
+    kinds = (("prompt_issue", (), 1), ("agents_rule", ("other",), 1), ("skill_candidate", ("other",), 2))
+    whole = None
+    for f, drop, least in kinds:
+        one = E.label_shares(t, f, drop, least).select(F.lit(f).alias("field"), "label", "n")
+        whole = one if whole is None else whole.unionByName(one)
+    return whole
 
 
 @query
-def c26_violations(spark, d):
-    return G.violations(table(spark, d, "cases"))
+def a11_reasons(spark, d):
+    return E.label_shares(table(spark, d, "cases"), "steering_reason")
 
 
 @query
-def a21_children(spark, d):
-    one = table(spark, d, "subagent_meta").groupBy("id").agg(F.max("depth").alias("depth"), F.count_distinct("depth").alias("depths"))
-    return one.agg(F.count("*").alias("created"), F.count_if(F.col("depth") > 1).alias("nested"), F.count_if(F.col("depths") > 1).alias("disputed"), F.count_if(F.col("depth").isNull()).alias("no_depth"))
+def a36_snapshot(spark, d):
+    i = T.interactions(_rec(spark, d))
+    f = cut(T.followups(i))
+    return G.semantic_snapshot(f, stand_in_labels(f.select(F.col("previous_turn_id").alias("turn_id"))))
 
 
 @query
-def a22_roles(spark, d):
-    return T.histogram(U.reconciled_children(table(spark, d, "subagent_meta")), "role")
+def a37_guard(spark, d):
+    r = _rec(spark, d)
+    i = cut(T.interactions(r))
+    f = cut(T.followups(i))
+    counts = i.agg(F.count("*").alias("tasks"), *(F.count_if(F.col("status") == s).alias(s) for s in ("complete", "aborted", "incomplete")))
+    wide = counts.join(F.broadcast(f.agg(F.count("*").alias("followups")))).join(F.broadcast(T.averages(T.turns(r))))  # one row each
+    snap = wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in wide.columns))).alias("x")).select("x.*")
+    return G.guard(snap, G.semantic_snapshot(f, stand_in_labels(f.select(F.col("previous_turn_id").alias("turn_id")))))
 
 
 @query
-def a30_anonymous_requests(spark, d):
-    r = _rec(spark, d).where("rec_type = 'token_usage_record' and readable and coalesce(response_id, '') = ''")
-    return r.groupBy("file_path", "turn_id").agg(F.count_distinct("ns").alias("requests"))
+def x7_verdict(spark, d):
+    return G.guard_passes(a37_guard(spark, d))
 
 
 @query
-def a39_coverage(spark, d):
-    m = table(spark, d, "subagent_meta")
-    blank = lambda c: F.count_if(F.coalesce(F.trim(c), F.lit("")) == "")
-    return m.agg(F.count("*").alias("n"), blank("id").alias("no_id"), blank("parent_id").alias("no_parent"), blank("agent_role").alias("no_role"), F.count_if(F.col("depth").isNull()).alias("no_depth"), F.count_if(F.col("has_depth") & F.col("depth").isNull()).alias("depth_lost"))
+def r4_insights(spark, d):
+    t = cut(_turns(spark, d))
+    labels, tops = stand_in_labels(t), None
+    for f in ("validation_type", "steering_reason", "prompt_issue", "agents_rule", "skill_candidate"):
+        drop = () if f == "steering_reason" else ("other",)
+        one = E.top_label(labels, f, drop).where("n >= 2" if f == "skill_candidate" else "true").select(F.lit(f).alias("field"), "label")
+        tops = one if tops is None else tops.unionByName(one)
+    return E.insights(E.observations(t, labels), tops)
 
 
 QUERIES = Q

@@ -34,9 +34,11 @@ _written: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: that of ``spark.checkpoint.dir``, or one of our own only where it is unset (tests)."""
+    """The folder all executors share: that of ``spark.checkpoint.dir``, or one of our own only where it is unset and all runs in this process (tests)."""
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="strandline-shared-")
         sc.setCheckpointDir(folder)

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 LINE_CAP = 16 * 1024 * 1024
 META_CAP = 10 * 1024 * 1024
 
 
+def inside(root: str, path: str) -> str:
+    """The real place of ``path``, links followed; ValueError if that is not below ``root``."""
+    top, real = os.path.realpath(root), os.path.realpath(path)
+    if os.path.commonpath([top, real]) != top:
+        raise ValueError(f"{path} is outside {root}")
+    return real
+
+
 def lines(spark: SparkSession, root: str, pattern: str = "rollout-*.jsonl") -> DataFrame:
-    """(file_path, line_no, line) of every file below ``root`` whose name matches; numbering from 1 in file order, an unterminated last line kept.
+    """(file_path, line_no, line) of every file below ``root`` whose name matches; numbered from 1 in file order with blank lines, which are then left out; an unterminated last line is kept.
 
-    Files are read whole, as order inside a file counts: a file is one row until it is split.
+    Files are read in splits, so a large file is spread over tasks: a line's place is that of its split's block and, in it, of the reading order.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True).withColumn("file_path", F.col("_metadata.file_path"))
-    rows = files.select("file_path", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    return rows.where(F.col("line") != "").select("file_path", (F.col("pos") + 1).alias("line_no"), "line")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").text(root)
+    rows = files.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
+    numbered = rows.withColumn("line_no", F.row_number().over(Window.partitionBy("file_path").orderBy("block", "place")))
+    return numbered.where("line <> ''").select("file_path", "line_no", "line")
 
 
 def file_status(rows: DataFrame, cap: int = LINE_CAP) -> DataFrame:

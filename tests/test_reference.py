@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from strandline.operators import children as C
 from strandline.operators import effectiveness as E
 from strandline.operators import golden as G
 from strandline.operators import labels as L
@@ -77,34 +78,6 @@ def test_usage_validity(spark, u, valid, total):
     assert (bool(got.valid), got.total_tokens) == (valid, total)
 
 
-def use(turn, response, thread="th", **x):
-    return "token_usage_record", {"turn_id": turn, "response_id": response, "thread_id": thread, "usage": x}
-
-
-def test_request_merge_and_ownership(spark):
-    a = use("t", "r1", input_tokens=10, output_tokens=1)
-    b = use("t", "r1", input_tokens=10, output_tokens=1, total_tokens=11)
-    r = frame(spark, [a, b, use("t", "r2", total_tokens=5), use("t", "r2", total_tokens=6), use("t", "shared", total_tokens=1)], [use("t", "shared", total_tokens=1), use("t", "r3", total_tokens=2**60)])
-    got = {x.response_id: (x.valid, x.total_tokens, x.copies) for x in U.requests(r).collect() if x.response_id != "shared"}
-    assert got == {"r1": (True, 11, 2), "r2": (False, 6, 2), "r3": (False, None, 1)} or got["r1"] == (True, 11, 2) and got["r2"][0] is False
-    assert not any(x.valid for x in U.requests(r).where("response_id = 'shared'").collect())
-
-
-def test_as_of_model(spark):
-    ctx = lambda m: ("turn_context", {"turn_id": "t", "model": m})
-    r = frame(spark, [use("t", "r0", total_tokens=1), ctx("m1"), use("t", "r1", total_tokens=1), ctx("m2"), use("t", "r2", total_tokens=1)])
-    reqs = r.where("rec_type = 'token_usage_record'").select("file_path", "turn_id", "record_id", "ns")
-    got = {x.record_id: x.model for x in U.model_at(reqs, r.where("rec_type = 'turn_context'")).collect()}
-    assert got == {1: "unknown", 3: "m1", 5: "m2"}
-
-
-def test_terminals_at_one_instant_conflict(spark):
-    rows = [(i, "f", i, ts, "event_msg", json.dumps({"type": k, "turn_id": "t"})) for i, (k, ts) in enumerate([("task_complete", "2024-12-31T23:00:00Z"), ("task_started", T0.format(0)), ("task_complete", T0.format(5)), ("turn_aborted", "2025-01-01T02:00:05+02:00")])]
-    r = R.decode(spark.createDataFrame(rows, "record_id bigint, file_path string, line_no int, rec_ts string, rec_type string, payload string"))
-    got = U.resolved_terminals(r).collect()
-    assert [(x.conflict, x.status) for x in got] == [(True, None)]
-
-
 def test_window_ends_are_inside_to_the_nanosecond(spark):
     rows = [(1, "f", 1, "2025-01-01T00:00:00.000000001Z", "x", "{}"), (2, "f", 2, "2025-01-01T00:00:00.000000002+00:00", "x", "{}"), (3, "f", 3, "2025-01-01", "x", "{}"), (4, "f", 4, None, "x", "{}")]
     r = R.decode(spark.createDataFrame(rows, "record_id bigint, file_path string, line_no int, rec_ts string, rec_type string, payload string"))
@@ -118,6 +91,9 @@ def test_cohorts(spark):
     obs = spark.createDataFrame(rows, "turn_id string, task_type string, steering boolean, tokens bigint, seconds double, tools bigint, model string, effort string, uses boolean")
     assert E.overall(obs).collect()[0].mean_tokens == 9.5  # a negative count is 0 here
     assert E.with_and_without(obs).count() == 0 and E.model_comparisons(obs).count() == 0
+    cell, zero = "named_struct('total', 0D, 'known', 0L, 'missing', 1L)", "0L"
+    none = spark.sql(f"select '' as task, {', '.join(f'{cell} as {m}' for m in C.METRICS)}, {', '.join(f'{zero} as {c}' for c in C.COUNTS)}")
+    obs = E.with_evidence(obs, none, none)
     assert {(r.cohort, r.uses): r.samples for r in E.cohorts(obs).collect()} == {("", True): 19, ("", False): 1, ("bugfix", True): 9, ("bugfix", False): 1, ("tests", True): 10, ("tests", False): 0}
     assert E.routing_cohorts(obs).count() == 4
 
@@ -143,7 +119,7 @@ def test_labeling_pipeline(spark):
     assert sum(map(len, plan)) == 20 and all(sum(len(L.serialise(r).encode()) + 1 for r in b) <= L.BUDGET for b in plan) and len(plan) > 1
     cut = L.cap_text("я" * 30000)
     assert len(cut.encode()) <= L.TEXT_CAP and "�" not in cut and L.cap_text("x") == "x"
-    df = spark.createDataFrame([("a", "p", None, None), ("b", "p", "x", "f")], "turn_id string, prompt string, previous_answer string, followup string")
+    df = spark.createDataFrame([("a", "p", None, None, None), ("b", "p", "x", "c", "f")], "turn_id string, prompt string, previous_answer string, followup_id string, followup string")
     got = {r.turn_id: r.followup_label for r in L.label(df, L.rule_labeler, workers=2).collect()}
     assert got["a"] is None and got["b"] in G.FOLLOWUP_LABELS
     keys = {r.k for m in ("m", "n") for r in df.select(L.cache_key(m, "low").alias("k")).collect()}
@@ -164,13 +140,115 @@ def test_cache_and_private_files(spark, tmp_path):
         cache.read_fixture(str(f))
 
 
+def test_answers_and_their_problems(spark):
+    full = {"turn_id": "t", "task_type": "bugfix", "task_confidence": 0.5, "followup_label": "steering", "followup_confidence": 1.0, "steering_reason": "other", "steering_reason_confidence": 1.0, "prevention_mechanisms": ["skill"], "not_preventable": False, "prevention_confidence": 0.1, "skill_candidate": "other", "skill_confidence": 1.0}
+    record = {"turn_id": "t", "prompt": "p", "followup_id": "u", "followup": "f", "previous_answer": ""}
+    wrong = {
+        None: {}, "task type": {"task_type": "none"}, "not_preventable": {"not_preventable": None}, "follow-up label": {"followup_confidence": None}, "steering field without steering": {"followup_label": "question"}, "steering reason": {"steering_reason": None},
+        "mechanisms": {"prevention_mechanisms": ["skill", "skill"]}, "not_preventable against mechanisms": {"not_preventable": True}, "prevention confidence": {"prevention_confidence": None}, "skill_candidate": {"skill_candidate": None}, "validation_type": {"validation_type": "tests"},
+    }
+    assert [L.answer_problem(record, full | x) for x in wrong.values()] == [*wrong]
+    assert L.answer_problem(record | {"followup": None}, full) == "follow-up field without follow-up" and L.answer_problem(record | {"prompt": ""}, full) == "task type without prompt"
+    rows = [{**record, **{n: None for n in L.NAMES}, **full, **x, "turn_id": str(p)} for p, x in wrong.items()]
+    df = spark.createDataFrame([tuple(r.get(c) for c in (*L.NAMES, "prompt", "followup")) for r in rows], L.RESULT + ", prompt string, followup string")
+    assert {r.turn_id: r.problem for r in L.result_violations(df).collect()} == {p: p for p in wrong if p}
+    with pytest.raises(L.InvalidAnswer):
+        L.check_answer([record], [full | {"mood": 1}])
+    assert isinstance(L.sort_error(RuntimeError("HTTP 503 from provider")), L.TransientError) and isinstance(L.sort_error(RuntimeError("input_too_large")), L.TooLarge)
+    sizes = []
+
+    def small(batch):
+        sizes.append(len(batch))
+        if len(batch) > 1:
+            raise RuntimeError("Input exceeds the maximum length")
+        return L.rule_labeler(batch)
+
+    assert len(L.label_batch([{"turn_id": str(i), "prompt": "p"} for i in range(4)], small)) == 4 and sizes == [4, 2, 1, 1, 2, 1, 1]
+
+
+def test_keys_follow_every_part(spark):
+    base = ("t", "p", "u", "f", "a")
+    other = [("t2", *base[1:]), ("t", "p2", *base[2:]), ("t", "p", "u2", "f", "a"), ("t", "p", "u", "f2", "a"), ("t", "p", "u", "f", "a2"), ("t", "p", None, None, None), ("t", "p\x00u", None, None, None)]
+    df = spark.createDataFrame([base, *other], "turn_id string, prompt string, followup_id string, followup string, previous_answer string")
+    keys = [r[0] for v in (L.VERSIONS, ("x", *L.VERSIONS[1:])) for m, e in (("m", "low"), ("n", "low"), ("m", "high")) for r in df.select(L.cache_key(m, e, v)).collect()]
+    assert len(set(keys)) == len(keys) == 48
+    import hashlib
+
+    want = hashlib.sha256("".join(x + "\0" for x in (*L.VERSIONS, "m", "low", "t", "p", "u", "f", "a")).encode()).hexdigest()
+    assert keys[0] == "semantic:" + want
+
+
+def test_cache_keeps_what_was_done(spark, tmp_path):
+    df = spark.createDataFrame([(f"t{i}", "p", None, None, None) for i in range(6)], "turn_id string, prompt string, followup_id string, followup string, previous_answer string")
+    path, seen = str(tmp_path / "labels"), L.label_into
+    assert seen(df.where("turn_id < 't4'"), L.rule_labeler, path, "m", "low", slices=2) == {"total": 4, "hits": 0, "evaluated": 4}
+    assert seen(df, L.rule_labeler, path, "m", "low", slices=2) == {"total": 6, "hits": 4, "evaluated": 2}
+    assert seen(df, L.rule_labeler, path, "m", "high", slices=1)["hits"] == 0
+    with pytest.raises(ValueError):
+        seen(df, L.rule_labeler, path, "-m", "low")
+
+
+def test_classifiers(spark):
+    rows = spark.createDataFrame([("a", "p", None, None, None), ("b", "", "x", "f", ""), ("c", "p", "y", "g", "")], "turn_id string, prompt string, followup_id string, followup string, previous_answer string")
+    labels = spark.createDataFrame([("b", "steering", ["skill"]), ("c", "question", None)], "turn_id string, followup_label string, prevention_mechanisms array<string>")
+    taken = {n: "".join(sorted(r.turn_id for r in L.classifier_cases(c, rows, labels).collect())) for n, c in L.CLASSIFIERS.items()}
+    assert taken == {"task-type": "ac", "steering": "bc", "steering-reason": "b", "prevention": "b", "prompt-quality": "", "agents-rules": "", "skill-candidates": "b", "validation": ""}
+
+    def says(records):
+        return [{"turn_id": json.loads(r)["turn_id"], "prevention_mechanisms": ["skill", "skill"], "not_preventable": False, "skill_candidate": "other"} for r in records]
+
+    got = [[tuple(r) for r in L.classify(L.CLASSIFIERS[n], rows, labels, says).collect()] for n in ("prevention", "skill-candidates")]
+    assert got == [[("b", "skill", False)], [("b", "other", False)]]
+    with pytest.raises(L.InvalidAnswer):
+        L.classifier_check(L.CLASSIFIERS["steering"])([{"turn_id": "b"}], [{"turn_id": "b", "followup_label": "no"}])
+
+
+def test_diagnostics_hide_prompts():
+    secret = "my prompt"
+    assert L.diagnostic("noise " + secret) == "error output omitted for privacy"
+    assert L.diagnostic(f"x\nERROR {{\n \"error\": {{\"code\": \"c\", \"message\": \"bad  {secret}\"}}}}", secret) == "c: bad [prompt omitted]"
+    assert L.diagnostic(f"[ERROR] failed Records: {secret}") == "[ERROR] failed" and len(L.diagnostic("ERROR " + "x" * 900)) == 515
+
+
 def test_redaction_and_validation(spark):
-    df = spark.createDataFrame([("mail a.b@c.de from /home/me/x\n```\ncode\n```",), ("x" * 5000 + " " + "é" * 10,), (None,)], "t string")
-    a, b, c = [r[0] for r in df.select(G.redact(df.t)).collect()]
-    assert a == "mail [EMAIL] from /[HOME]/x\n[CODE]" and "[TOKEN]" in b and c is None
-    rows = [("c1", "p", None, None, None, None, None), ("c2", "", None, None, None, None, None), ("c3", "p", None, "nope", None, None, None), ("c4", "p", "f", None, "question", "other", None), ("c5", "p", "f", None, "steering", None, ["skill", "magic"]), ("c6", "p", "f", None, "question", None, [])]
-    got = {r.case_id: r.problem for r in G.violations(spark.createDataFrame(rows, "case_id string, prompt string, followup_prompt string, task_type string, followup_label string, steering_reason string, prevention_mechanisms array<string>")).collect()}
-    assert got == {"c2": "empty prompt", "c3": "unknown task_type", "c4": "reason without steering", "c5": "unknown mechanism"}
+    df = spark.createDataFrame([("email a@example.com token=abc123 /Users/alice/project\n```go\nsecret()\n```",), ("Bearer abc.def, sk-12x ghp_9z C:\\Users\\me\\f",), ("é" * 5000 + "end",), (None,)], "t string")
+    a, b, c, d = [r[0] for r in df.select(G.redact(df.t)).collect()]
+    assert a == "email [redacted email] [redacted token] [redacted local path]\n[redacted code]" and b == "[redacted token], [redacted token] [redacted token] [redacted local path]"
+    assert c == "é" * 1200 + G.CUT + "é" * 1197 + "end" and d == ""
+    names = ("case_id", "prompt", "followup_prompt", *G.FIELDS, "prevention_mechanisms")
+    ok = {"case_id": "case-0a", "prompt": "p", "followup_prompt": "f", "task_type": "bugfix"}
+    wrong = {
+        "invalid id": {"case_id": "case-x1"}, "no input": {"prompt": "", "followup_prompt": None}, "nothing expected": {"task_type": None}, "unknown task_type": {"task_type": "nope"}, "unknown validation_type": {"validation_type": "nope"}, "task type without prompt": {"prompt": ""},
+        "label without follow-up": {"followup_prompt": "", "prevention_mechanisms": []}, "unknown mechanism": {"prevention_mechanisms": ["skill", "magic"]}, "duplicate mechanism": {"prevention_mechanisms": ["skill", "skill"]}, "reason without steering": {"followup_label": "question", "steering_reason": "other"},
+        "steering field without steering": {"followup_label": "question", "prevention_mechanisms": ["skill"]}, "agents_rule without mechanism": {"agents_rule": "other", "prevention_mechanisms": ["skill"]}, None: {"followup_label": "question", "prevention_mechanisms": []},
+    }
+    rows = [{**ok, "case_id": f"case-{i:02x}", **x} for i, x in enumerate(wrong.values())] + [{**ok, "case_id": "case-ff"}] * 2
+    got = G.violations(spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], ", ".join(f"{n} string" for n in names[:-1]) + ", prevention_mechanisms array<string>"))
+    assert sorted(r.problem for r in got.collect()) == sorted([*(p for p in wrong if p), "duplicate id"])
+
+
+def test_guard_at_its_bounds(spark):
+    snap = spark.createDataFrame([(m, v) for m, v, _ in G.HISTORY], "metric string, value double")
+    run = lambda s, *rates: {r.metric: r.verdict for r in G.guard(s, spark.createDataFrame([*rates], "cohort string, samples bigint, steering_rate double")).collect() if r.verdict != "pass"}
+    best = [("", 930, 14.8), ("refactor", 10, 30.0), ("architecture", 10, 20.6)]
+    assert run(snap, *best) == {} and run(snap, ("", 930, 16.3), ("refactor", 10, 38.0), ("architecture", 10, 12.6)) == {}
+    assert run(snap, ("", 930, 16.31), ("refactor", 10, 38.01), ("architecture", 9, 20.6)) == {"steering all": "warning", "steering refactor": "warning", "steering architecture": "warning"}
+    off = spark.createDataFrame([(m, v + (0.04 if d else 0.4) + (1 if m == "tasks" else 0)) for m, v, d in G.HISTORY if m != "aborted"], "metric string, value double")
+    assert run(off, *best[:2]) == {"tasks": "mismatch", "aborted": "mismatch", "steering architecture": "warning"}
+
+
+def test_last_followup_of_a_turn_counts(spark):
+    tasks = spark.createDataFrame([("a", 1, "t", "p"), ("a", 2, "z", ""), ("b", 1, "y", "")], "file_path string, seq int, turn_id string, prompt string")
+    follow = spark.createDataFrame([("a", 2, "t", "zz", "A", "one"), ("b", 1, "t", "aa", "B", "two"), ("b", 1, "y", "q", "C", "three")], "file_path string, seq int, previous_turn_id string, turn_id string, previous_answer string, prompt string")
+    got = {r.turn_id: (r.followup_id, r.followup, r.previous_answer) for r in L.inputs(tasks, follow).collect()}
+    assert got == {"t": ("aa", "two", "B"), "y": ("q", "three", "C")}
+
+
+def test_first_pair_of_efforts_in_order(spark):
+    rows = [(f"{e}{i}", "bugfix", False, t, 1.0, 1, "m", e, False) for e, t in (("a", 100), ("b", 60), ("c", 80), ("d", 50)) for i in range(10)]
+    obs = spark.createDataFrame(rows, "turn_id string, task_type string, steering boolean, tokens bigint, seconds double, tools bigint, model string, effort string, uses boolean")
+    assert [tuple(r)[2:4] for r in E.routing_hypothesis(obs).collect()] == [("b", "a")]
+    assert E.routing_hypothesis(obs.where("effort in ('c', 'd')")).collect()[0].better == "d"
 
 
 def test_rollout_files(spark, tmp_path):
@@ -184,6 +262,22 @@ def test_rollout_files(spark, tmp_path):
     got = [(r.line_no, r.rec_type, r.payload) for r in rollouts.records(lines, cap=100).orderBy("line_no").collect()]
     assert got == [(1, "event_msg", '{"type":"task_started"}'), (3, "compacted", None)]
     assert R.decode(rollouts.records(lines)).count() == 3
+    assert rollouts.inside(str(tmp_path), str(tmp_path / "a")) == str((tmp_path / "a").resolve())
+    (tmp_path / "link").symlink_to("/etc")
+    with pytest.raises(ValueError):
+        rollouts.inside(str(tmp_path), str(tmp_path / "link" / "passwd"))
+
+
+def test_lines_of_split_files_keep_their_numbers(spark, tmp_path):
+    n = 3000
+    (tmp_path / "rollout-x.jsonl").write_text("".join(f'{{"type":"t","payload":"{i}"}}\n' + ("\n" if i % 7 == 0 else "") for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows = rollouts.lines(spark, str(tmp_path)).orderBy("line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == n and rows[8].line_no == 11 and [json.loads(r.line)["payload"] for r in rows] == [str(i) for i in range(n)]
 
 
 def test_streaming(spark, tmp_path):
