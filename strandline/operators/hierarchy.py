@@ -1,8 +1,9 @@
 """Parent-child links to full hierarchies.
 
 Cycles are exposed by peeling; Euler tours over the remaining forest, ranked by pointer doubling,
-give every node its root, depth and entry-exit interval. All steps are joins and hash aggregates
-on node ids; nothing is gathered on the driver but row counts.
+give every node its root, depth and entry-exit interval, and the intervals give ancestors, descendants
+and paths. Nodes are numbered once and all rounds are joins of numbers, of rows that are still under way
+only, so no key is null and finished tours cost nothing more. Nothing is gathered on the driver but row counts.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from pyspark.sql.window import Window
 from strandline.functions.ids import canonical_uuid
 from strandline.session import cut, cut_counting, free
 
-#: Siblings are chained inside hash buckets first, so a parent with most of the rows is spread over tasks.
-SIBLING_BUCKETS = 256
+#: Siblings are chained inside hash buckets first, so a parent with most of the rows is spread over tasks: rows of a parent with all of them in one bucket.
+SIBLINGS = 50_000
 #: Two-sided peeling rounds before what is left is settled by doubling (a chain of n needs log n rounds, not n).
 PEEL_ROUNDS = 4
+#: Levels of the blocks that intervals are cut into, each 8 times the size of the one before. Blocks of the last level bound what one key of the join holds.
+LEVELS = 5
 
 
 def agent_links(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
@@ -46,7 +49,8 @@ def cycle_members(edges: DataFrame, peel_rounds: int = PEEL_ROUNDS) -> DataFrame
         inner = core.join(core.select(F.col("parent").alias("id")).distinct(), "id", "left_semi").join(core.select(F.col("id").alias("parent")), "parent", "left_semi")
         before, old = size, core
         core, size = cut_counting(inner.select("id", "parent"))
-        free(old)
+        if old is not edges:
+            free(old)
         if size in (0, before):
             return core.select("id")
     jump, steps, before = core, 1, -1
@@ -60,88 +64,130 @@ def cycle_members(edges: DataFrame, peel_rounds: int = PEEL_ROUNDS) -> DataFrame
     return jump.select(F.col("parent").alias("id")).distinct()
 
 
-def euler_tours(forest: DataFrame) -> DataFrame:
-    """(node, root, depth, from_end, subtree) for each node of a forest.
-
-    ``forest``: (id, parent), parent null for roots, no cycles. ``depth`` is 0 at the root; ``from_end``
+def _tour(forest: DataFrame, size: int) -> DataFrame:
+    """The arcs of the tours of a forest of numbers: (arc, ptr, sum, n, last, head). Arc 2k enters node k and 2k+1 leaves it; ptr is the next arc, null at the end."""
+    buckets = size // SIBLINGS + 1
+    kids = forest.where("parent is not null").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+    kids = kids.withColumn("sib", F.lead("id").over(Window.partitionBy("parent", "b").orderBy("id")))
+    if buckets == 1:
+        first = kids.groupBy("parent").agg(F.min("id").alias("child"))
+        kids = kids.withColumn("after", F.lit(None).cast("bigint"))
+    else:  # the last of a bucket is followed by the first of the parent's next one
+        heads = kids.groupBy("parent", "b").agg(F.min("id").alias("head"))
+        heads = heads.withColumn("after", F.lead("head").over(Window.partitionBy("parent").orderBy("b")))
+        first = heads.groupBy("parent").agg(F.min_by("head", "b").alias("child"))
+        ends = kids.where("sib is null").join(heads.select("parent", "b", "after"), ["parent", "b"])
+        kids = kids.where("sib is not null").withColumn("after", F.lit(None).cast("bigint")).unionByName(ends.select("id", "parent", "b", "sib", "after"))
+    none = F.lit(None).cast("bigint")
+    nodes = kids.select("id", "parent", F.coalesce("sib", "after").alias("sib")).unionByName(forest.where("parent is null").select("id", "parent", none.alias("sib")))
+    nodes = nodes.join(first.withColumnRenamed("parent", "id"), "id", "left")
+    enter, leave = lambda c: 2 * F.col(c), lambda c: 2 * F.col(c) + 1
+    up = F.coalesce(enter("sib"), leave("parent"))
+    down = F.struct(enter("id").alias("arc"), F.coalesce(enter("child"), leave("id")).alias("ptr"), F.lit(1).alias("sum"), (F.col("parent").isNull()).alias("head"))
+    back = F.struct(leave("id").alias("arc"), up.alias("ptr"), F.lit(-1).alias("sum"), F.lit(False).alias("head"))
+    arcs = nodes.select(F.explode(F.array(down, back)).alias("x"))
+    return arcs.select("x.arc", "x.ptr", F.col("x.sum").cast("bigint").alias("sum"), F.lit(1).cast("bigint").alias("n"), F.when(F.col("x.ptr").isNull(), F.col("x.arc")).alias("last"), "x.head")
+
+
+def euler_tours(forest: DataFrame, size: int) -> DataFrame:
+    """(node, root, depth, from_end, subtree) for each node of a forest of ``size`` numbered nodes.
+
+    ``forest``: (id, parent) as bigint, parent null for roots, no cycles. ``depth`` is 0 at the root; ``from_end``
     counts the arcs from the node's entry to the end of its root's tour, so nodes of one root in falling
     ``from_end`` stand in pre-order; ``subtree`` is the number of its descendants. A node's descendants are
-    the nodes of its root whose ``from_end`` lies in (from_end - 2 * subtree - 1, from_end).
+    the nodes of its root whose ``from_end`` lies in [from_end - 2 * subtree, from_end - 1].
     """
-    kids = forest.where(F.col("parent").isNotNull()).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(SIBLING_BUCKETS)).cast("int"))
-    kids = kids.withColumn("sib", F.lead("id").over(Window.partitionBy("parent", "b").orderBy("id")))
-    heads = kids.groupBy("parent", "b").agg(F.min("id").alias("head"))
-    heads = heads.withColumn("after", F.lead("head").over(Window.partitionBy("parent").orderBy("b")))
-    first = heads.groupBy("parent").agg(F.min_by("head", "b").alias("child")).withColumnRenamed("parent", "id")
-    ends = kids.where(F.col("sib").isNull()).select("parent", "b", "id").join(heads.select("parent", "b", "after"), ["parent", "b"]).select("id", "after")
-    nodes = forest.join(kids.select("id", "sib"), "id", "left").join(ends, "id", "left").join(first, "id", "left")
-    sib = F.coalesce("sib", "after")
-    enter, leave = (lambda c: F.concat(c, F.lit("+"))), (lambda c: F.concat(c, F.lit("-")))
-    arcs = nodes.select(
-        F.explode(
-            F.array(
-                F.struct(enter(F.col("id")).alias("arc"), F.coalesce(enter(F.col("child")), leave(F.col("id"))).alias("ptr"), F.lit(1).alias("w")),
-                F.struct(leave(F.col("id")).alias("arc"), F.coalesce(enter(sib), leave(F.col("parent"))).alias("ptr"), F.lit(-1).alias("w")),
-            )
-        ).alias("x")
-    ).select("x.arc", "x.ptr", F.col("x.w").cast("bigint").alias("sum"), F.lit(1).cast("bigint").alias("n"), F.when(F.col("x.ptr").isNull(), F.col("x.arc")).alias("last"))
     # list ranking: after k rounds each arc knows the sums over its next 2^k arcs, and whether the tour ended there
-    arcs = cut(arcs)
-    while True:
-        there = arcs.select(F.col("arc").alias("ptr"), F.col("ptr").alias("p2"), F.col("sum").alias("s2"), F.col("n").alias("n2"), F.col("last").alias("l2"))
-        old = arcs
-        arcs, open_arcs = cut_counting(arcs.join(there, "ptr", "left").select("arc", F.col("p2").alias("ptr"), (F.col("sum") + F.coalesce("s2", F.lit(0))).alias("sum"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.coalesce("last", "l2").alias("last")), "ptr is not null")
-        free(old)
-        if not open_arcs:
-            break
-    ranked = arcs.select(F.expr("substr(arc, 1, length(arc) - 1)").alias("node"), F.expr("right(arc, 1) = '+'").alias("down"), "sum", "n", F.expr("substr(last, 1, length(last) - 1)").alias("root"))
-    return ranked.groupBy("node", "root").agg(
-        (-F.max(F.when(F.col("down"), F.col("sum")))).alias("depth"),
-        F.max(F.when(F.col("down"), F.col("n"))).alias("from_end"),
+    table, walking = cut_counting(_tour(forest, size), "ptr is not null")
+    done, look, rows = [table.where("ptr is null")], [table.where("ptr is null")], 2 * size - walking
+    while walking:
+        on = table.where("ptr is not null")
+        if rows > 4 * walking:  # arcs of finished tours are no more looked up
+            heads = on.where("head").select((F.col("arc") + 1).alias("last"))
+            kept, rows = cut_counting(_union(look).join(heads, "last", "left_semi").select(*table.columns))
+            look = [kept]
+        there = _union([*look, on]).select(F.col("arc").alias("ptr"), F.col("ptr").alias("p2"), F.col("sum").alias("s2"), F.col("n").alias("n2"), F.col("last").alias("l2"))
+        before = walking
+        table, walking = cut_counting(on.join(there, "ptr").select("arc", F.col("p2").alias("ptr"), (F.col("sum") + F.col("s2")).alias("sum"), (F.col("n") + F.col("n2")).alias("n"), F.col("l2").alias("last"), "head"), "ptr is not null")
+        done.append(table.where("ptr is null"))
+        look.append(done[-1])
+        rows += before - walking
+    down = F.col("arc") % 2 == 0
+    return _union(done).groupBy(F.shiftright("arc", 1).alias("node"), F.shiftright("last", 1).alias("root")).agg(
+        (-F.max(F.when(down, F.col("sum")))).cast("int").alias("depth"),
+        F.max(F.when(down, F.col("n"))).alias("from_end"),
         ((F.max("n") - F.min("n") - 1) / 2).cast("bigint").alias("subtree"),
-    )
+    )
 
 
-def hierarchy(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """(id, root_id, depth, status, from_end, subtree) for each id of ``links``.
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def forest(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, root_id, depth, status, from_end, subtree, top) for each id of ``links`` and each of ``roots`` that is a parent.
 
     ``links``: (id, parent) as of :func:`agent_links`; ``roots``: (id), the ids that end a walk upward.
     status is ``rooted`` (depth counts the steps to root_id, 1 for its direct children), ``cycle`` (member of
     a cycle or below one) or ``missing`` (the walk ends at a null or unknown parent); in the last two cases
-    root_id is the cycle member or topmost node reached and depth the steps to it. Empty input gives no rows.
-    """
-    links = cut(links)
-    inner = links.where(F.col("parent").isNotNull()).join(links.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent")
-    cyclic = cut(cycle_members(inner).distinct().withColumn("cyclic", F.lit(True)))
-    outside = roots.select("id").where(F.col("id").isNotNull()).distinct().join(links.select("id"), "id", "left_anti")
-    used = links.select(F.col("parent").alias("id")).where(F.col("id").isNotNull()).distinct()
-    tops = cut(used.join(outside, "id", "left_semi").withColumn("outer", F.lit(True)))
-    known = links.select("id").unionByName(tops.select("id")).withColumnRenamed("id", "parent").withColumn("known", F.lit(True))
-    cutoff = links.join(cyclic, "id", "left").join(known, "parent", "left")
-    forest = cutoff.select("id", F.when(F.col("cyclic").isNull() & F.col("known").isNotNull(), F.col("parent")).alias("parent")).unionByName(tops.select("id", F.lit(None).cast("string").alias("parent")))
-    ranked = euler_tours(forest)
-    named = ranked.join(tops.select(F.col("id").alias("root"), "outer"), "root", "left").join(cyclic.withColumnRenamed("id", "root"), "root", "left")
-    status = F.when(F.col("outer"), "rooted").when(F.col("cyclic"), "cycle").otherwise("missing")
-    own = named.join(links.select(F.col("id").alias("node")), "node", "left_semi")
-    return own.select(F.col("node").alias("id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), status.alias("status"), "from_end", "subtree")
-
-
-def paths(links: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(id, path): the ids from the root to the node, for rooted nodes.
-
-    Built by doubling over parent pointers: in log(depth) rounds each node's path is its last 2^k ids in
-    front of which the path of the pointer is set.
+    root_id is the cycle member or topmost node reached and depth the steps to it. ``top`` marks the rows of
+    ``roots``. Empty input gives no rows.
     """
-    rooted = ranked.where("status = 'rooted'").select("id", "root_id", "depth")
-    step, left = cut_counting(rooted.join(links, "id").select("id", F.when(F.col("depth") > 1, F.col("parent")).alias("ptr"), F.when(F.col("depth") > 1, F.array("id")).otherwise(F.array("root_id", "id")).alias("path")), "ptr is not null")
-    while left:
-        there = step.select(F.col("id").alias("ptr"), F.col("ptr").alias("p2"), F.col("path").alias("front"))
-        old = step
-        step, left = cut_counting(step.join(there, "ptr", "left").select("id", F.col("p2").alias("ptr"), F.when(F.col("front").isNull(), F.col("path")).otherwise(F.concat("front", "path")).alias("path")), "ptr is not null")
-        free(old)
-    return step.select("id", "path")
+    number = F.monotonically_increasing_id()  # of a written table: the numbers stay
+    nodes, size = cut_counting(links.select("id", "parent", number.alias("num")))
+    known = nodes.where("parent is not null").select("num", "parent").join(nodes.select(F.col("id").alias("parent"), F.col("num").alias("up")), "parent", "left")
+    known = cut(known)
+    edges = known.where("up is not null").select(F.col("num").alias("id"), F.col("up").alias("parent"))
+    cyclic = cut(cycle_members(edges).distinct())
+    ends = known.where("up is null").select("parent").distinct().join(roots.select(F.col("id").alias("parent")).distinct(), "parent", "left_semi")
+    tops, extra = cut_counting(ends.select(F.col("parent").alias("id"), (-1 - number).alias("num")))
+    inner = edges.join(cyclic, "id", "left_anti")
+    outer = known.where("up is null").drop("up").join(tops.select(F.col("id").alias("parent"), F.col("num").alias("up")), "parent").select(F.col("num").alias("id"), F.col("up").alias("parent"))
+    below = cut(inner.unionByName(outer))
+    single = nodes.select(F.col("num").alias("id")).join(below.select("id"), "id", "left_anti").unionByName(tops.select(F.col("num").alias("id")))
+    ranked = euler_tours(below.unionByName(single.select("id", F.lit(None).cast("bigint").alias("parent"))), size + extra)
+    names = nodes.select(F.col("num").alias("node"), "id").unionByName(tops.select(F.col("num").alias("node"), "id"))
+    tree = names.join(single.select(F.col("id").alias("node")), "node").select(F.col("node").alias("root"), F.col("id").alias("root_id")).join(cyclic.select(F.col("id").alias("root"), F.lit(True).alias("cyclic")), "root", "left")
+    status = F.when(F.col("root") < 0, "rooted").when(F.col("cyclic"), "cycle").otherwise("missing")
+    named = ranked.join(names, "node").join(tree, "root")
+    return named.select("id", "root_id", "depth", status.alias("status"), "from_end", "subtree", (F.col("node") < 0).alias("top"))
+
+
+def hierarchy(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, root_id, depth, status, from_end, subtree) for each id of ``links``; see :func:`forest`."""
+    return forest(links, roots).where("not top").drop("top")
 
 
-def descendants(node_paths: DataFrame) -> DataFrame:
-    """(ancestor_id, id, distance): one row for each pair of a node and one of its descendants, from the paths."""
-    return node_paths.select("id", "path", F.posexplode("path").alias("pos", "ancestor_id")).where(F.col("ancestor_id") != F.col("id")).select("ancestor_id", "id", (F.size("path") - 1 - F.col("pos")).alias("distance"))
+def ancestors(tree: DataFrame) -> DataFrame:
+    """(ancestor_id, id, distance): one row for each pair of a node of a :func:`forest` and one of its descendants, from their intervals.
+
+    An interval of entries is cut into blocks of a few sizes, each entry lies in one block of each size, and the
+    two meet in exactly one: a join of equal blocks. Large intervals are many blocks of the last size, so no key is
+    hot. The links between members of a cycle are none.
+    """
+    point, hi = F.col("from_end"), F.col("from_end")  # the interval is [from_end - 2 * subtree, from_end)
+    lo = hi - 2 * F.col("subtree")
+    start = [F.ceil(lo / 8**k).cast("bigint") for k in range(LEVELS)]
+    stop = [F.floor(hi / 8**k).cast("bigint") for k in range(LEVELS)]
+    seq = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    at_level = lambda k: lambda q: F.struct(F.lit(k).alias("level"), q.alias("block"))
+    blocks = []
+    for k in range(LEVELS):
+        own = seq(start[k], stop[k])
+        if k + 1 < LEVELS:
+            own = F.when(start[k + 1] < stop[k + 1], F.concat(seq(start[k], start[k + 1] * 8), seq(stop[k + 1] * 8, stop[k]))).otherwise(own)
+        blocks.append(F.transform(own, at_level(k)))
+    spans = tree.where("subtree > 0").select("root_id", "status", F.col("id").alias("ancestor_id"), F.col("depth").alias("above"), F.explode(F.concat(*blocks)).alias("x")).select("root_id", "ancestor_id", "above", "x.*")
+    places = F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(point, 3 * k).alias("block")) for k in range(LEVELS)))
+    entries = tree.where("depth > 0").select("root_id", "id", "depth", F.explode(places).alias("x")).select("root_id", "id", "depth", "x.*")
+    return spans.join(entries, ["root_id", "level", "block"]).select("ancestor_id", "id", (F.col("depth") - F.col("above")).alias("distance"))
+
+
+def paths(tree: DataFrame) -> DataFrame:
+    """(id, path, status): for each node of a :func:`forest` but its tops the ids from the root, the topmost node or the cycle member reached down to itself."""
+    up = ancestors(tree).groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor_id"))).alias("a"))
+    own = tree.where("not top").join(up, "id", "left")
+    return own.select("id", F.when(F.col("a").isNull(), F.array("id")).otherwise(F.concat(F.transform("a", lambda x: x["ancestor_id"]), F.array("id"))).alias("path"), "status")

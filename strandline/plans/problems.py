@@ -9,29 +9,26 @@ from pyspark.sql import functions as F
 
 from strandline.functions.ids import canonical_uuid
 from strandline.operators import flatten, hierarchy, schema_drift
+from strandline.session import cut
 from strandline.sources.tables import table
 
 
-def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    links = hierarchy.agent_links(table(spark, d, "subagent_meta"))
+def _tree(spark: SparkSession, d: str) -> DataFrame:
     sessions = table(spark, d, "sessions").select(canonical_uuid(F.col("id")).alias("id"))
-    return links, hierarchy.hierarchy(links, sessions)
+    return hierarchy.forest(hierarchy.agent_links(table(spark, d, "subagent_meta")), sessions)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    _, ranked = _tree(spark, d)
     rooted = F.col("status") == "rooted"
-    return ranked.select("id", F.when(rooted, F.col("root_id")).otherwise(F.col("status")).alias("root_id"), F.when(rooted, F.col("depth")).otherwise(F.lit(-1)).cast("int").alias("true_depth"))
+    return _tree(spark, d).where("not top").select("id", F.when(rooted, F.col("root_id")).otherwise(F.col("status")).alias("root_id"), F.when(rooted, F.col("depth")).otherwise(F.lit(-1)).cast("int").alias("true_depth"))
 
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
-    links, ranked = _tree(spark, d)
-    return hierarchy.paths(links, ranked).select("id", F.array_join("path", "/").alias("path"))
+    return hierarchy.paths(cut(_tree(spark, d))).select("id", F.array_join("path", "/").alias("path"), "status")
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    links, ranked = _tree(spark, d)
-    return hierarchy.descendants(hierarchy.paths(links, ranked))
+    return hierarchy.ancestors(cut(_tree(spark, d)))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,8 +85,12 @@ WITH RECURSIVE links AS (
   FROM walk w LEFT JOIN links l ON l.id = w.up LEFT JOIN roots r ON r.id = w.up
   WHERE w.up IS NULL OR l.id IS NULL OR list_contains(w.seen, w.up)
 )"""
+#: The way up from each agent: to its root session, its topmost agent, or the first member of a cycle.
+_WAYS = _WALK + """, ways AS (
+  SELECT id, coalesce(cyclic, false) AS cyclic, rooted, CASE WHEN coalesce(cyclic, false) THEN seen[1:list_position(seen, up)] WHEN rooted THEN list_append(seen, up) ELSE seen END AS way FROM ends
+)"""
 SQL: dict[str, str] = {
     "p2_found": _WALK + " SELECT id, CASE WHEN coalesce(cyclic, false) THEN 'cycle' WHEN rooted THEN up ELSE 'missing' END AS root_id, CAST(CASE WHEN NOT coalesce(cyclic, false) AND rooted THEN steps ELSE -1 END AS INTEGER) AS true_depth FROM ends",
-    "p2_paths": _WALK + " SELECT id, array_to_string(list_reverse(list_append(seen, up)), '/') AS path FROM ends WHERE NOT coalesce(cyclic, false) AND rooted",
-    "p2_descendants": _WALK + " SELECT p.x AS ancestor_id, id, CAST(p.k AS INTEGER) AS distance FROM (SELECT id, unnest(list_append(seen, up)) AS x, generate_subscripts(list_append(seen, up), 1) - 1 AS k FROM ends WHERE NOT coalesce(cyclic, false) AND rooted) p WHERE p.k > 0",
+    "p2_paths": _WAYS + " SELECT id, array_to_string(list_reverse(way), '/') AS path, CASE WHEN cyclic THEN 'cycle' WHEN rooted THEN 'rooted' ELSE 'missing' END AS status FROM ways",
+    "p2_descendants": _WAYS + " SELECT p.x AS ancestor_id, id, CAST(p.k AS INTEGER) AS distance FROM (SELECT id, unnest(way) AS x, generate_subscripts(way, 1) - 1 AS k FROM ways) p WHERE p.k > 0",
 }
