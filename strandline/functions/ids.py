@@ -14,5 +14,5 @@ def canonical_uuid(c: Column) -> Column:
     bare = F.regexp_replace(F.lower(F.regexp_replace(c, r"(?U)[\s{}()\"']+", "")), "^(urn:)?(uuid:)?", "")
     # text in the form already, as nearly all is, costs one match; the rest is cleaned
     dashed = F.regexp_replace(F.regexp_replace(bare, "-", ""), "^([0-9a-f]{8})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{12})$", "$1-$2-$3-$4-$5")
-    form = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+    form = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\z"
     return F.when(c.rlike(form), c).when(dashed.rlike(form), dashed).when(bare != "", bare)
