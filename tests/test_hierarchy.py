@@ -93,5 +93,5 @@ def test_empty_and_dirty_rows(spark):
 
 
 def test_canonical_uuid(spark):
-    got = spark.createDataFrame([("Unknown",), (None,), (" ",)], "x string").select(canonical_uuid(F.col("x")).alias("y")).collect()
+    got = spark.createDataFrame([("Unknown",), (None,), (" ",), ("0a1b2c3d-0000-1111-2222-333344445555\n",)], "x string").select(canonical_uuid(F.col("x")).alias("y")).collect()
     assert [r.y for r in got] == ["unknown", None, None, "0a1b2c3d-0000-1111-2222-333344445555"]
