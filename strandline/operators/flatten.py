@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODES = "path string, parent_path string"
 TRIPLES = "table_path string, node_path string, parent_path string, field string, ordinal int, kind string, value string"
 _TOKEN = re.compile(r'\s*(?:([{}\[\]:,])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w.])|(true|false|null)(?!\w))')
 
@@ -90,6 +89,30 @@ def parse(text: str) -> object:
         return _stream(text)
 
 
+def to_json(v: object) -> str:
+    """JSON text of a value, however deep it is nested."""
+    try:
+        return json.dumps(v, ensure_ascii=False)
+    except RecursionError:
+        out: list[str] = []
+        stack: list = [(v, False)]
+        while stack:
+            x, raw = stack.pop()
+            if raw:
+                out.append(x)
+            elif isinstance(x, dict | list) and x:
+                out.append("{" if isinstance(x, dict) else "[")
+                stack.append(("}" if isinstance(x, dict) else "]", True))
+                items = [*x.items()] if isinstance(x, dict) else [*x]
+                for n in range(len(items) - 1, -1, -1):
+                    value = items[n][1] if isinstance(x, dict) else items[n]
+                    stack.append((value, False))
+                    stack.append(((", " if n else "") + (json.dumps(items[n][0], ensure_ascii=False) + ": " if isinstance(x, dict) else ""), True))
+            else:
+                out.append(json.dumps(x, ensure_ascii=False))
+        return "".join(out)
+
+
 def _embedded(text: str) -> object | None:
     """The object or array that a string is as a whole, else None."""
     s = text.strip(" \t\r\n")
@@ -114,46 +137,6 @@ def _open(payload: str | None) -> object | None:
     return v if isinstance(v, dict | list) else None
 
 
-def object_nodes(payload: str | None) -> list[tuple[str, str]]:
-    """(path, parent_path) of each object inside ``payload``, without the payload itself."""
-    top = _open(payload)
-    if top is None:
-        return []
-    out: list[tuple[str, str]] = []
-    stack: list = [(top, "", "")] if isinstance(top, list) else []
-    odd = False
-
-    def inside(obj: dict, path: str) -> None:
-        nonlocal odd
-        for k, v in obj.items():
-            t = type(v)
-            if t is str:
-                c = v[:1]
-                if (c != "{" and c != "[" and not c.isspace()) or (v := _embedded(v)) is None:
-                    continue
-            elif t is not dict and t is not list:
-                continue
-            odd = odd or "." in k or "[" in k
-            stack.append((v, f"{path}.{k}" if path else k, path))
-
-    if isinstance(top, dict):
-        inside(top, "")
-    while stack:
-        v, path, parent = stack.pop()
-        if type(v) is dict:
-            out.append((path, parent))
-            if v:
-                inside(v, path)
-        else:
-            for i, e in enumerate(v):
-                t = type(e)
-                if t is dict or t is list:
-                    stack.append((e, f"{path}[{i}]", parent))
-                elif t is str and (e := _embedded(e)) is not None:
-                    stack.append((e, f"{path}[{i}]", parent))
-    return list(dict.fromkeys(out)) if odd else out
-
-
 def triples(payload: str | None) -> list[tuple]:
     """(table_path, node_path, parent_path, field, ordinal, kind, value) of each field of each object, the payload's too.
 
@@ -190,23 +173,6 @@ def triples(payload: str | None) -> list[tuple]:
     return out
 
 
-def nested_objects(records: DataFrame, key: str = "record_id", payload: str = "payload") -> DataFrame:
-    """(key, node_path, parent_path): one row for each JSON object inside each payload. Unreadable, null and scalar payloads give none."""
-    kind = dict(records.dtypes)[key]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, paths, parents = [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for path, parent in object_nodes(text):
-                    ids.append(i)
-                    paths.append(path)
-                    parents.append(parent)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(paths, pa.string()), pa.array(parents, pa.string())], names=[key, "node_path", "parent_path"])
-
-    return records.select(key, payload).mapInArrow(run, f"`{key}` {kind}, node_path string, parent_path string")
-
-
 def path_triples(records: DataFrame, key: str = "record_id", payload: str = "payload") -> DataFrame:
     """The triples of every payload, keyed by ``key``."""
     kind = dict(records.dtypes)[key]

@@ -1,12 +1,12 @@
 """Schemas that drift between files.
 
-Every line becomes the tree of its field names and JSON types; the distinct trees of a file are merged and
-compared with the canonical tree by a top-down tree edit distance: matching children costs nothing, a deletion
-or an insertion 1, a renaming less the more the name, the type or the inner structure agree, and a subtree that
-turns up under another parent is a move. The cheapest script lists the file's changes and is compiled into a
+Every line is reduced to what it shows about its schema: which fields of which JSON types stand at the canonical
+places, which unknown fields, and beside or instead of which canonical ones. These facts, distinct by file, are the
+nested schema of the file, and a top-down tree edit distance compares it with the canonical tree. Its operations
+have prices: an optional field is cheap to delete, a required one not; a renaming costs the more the less name, type
+and inner structure agree and the more often both names stand in one object, over all files; a subtree that turns
+up under another parent may be a move. The cheapest script lists the file's changes and is compiled into a
 projection that reads each of its lines in the canonical shape.
-
-The lines are shuffled only as distinct (file, kind, tree) rows with their counts.
 """
 
 from __future__ import annotations
@@ -21,28 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.flatten import parse
+from strandline.operators.flatten import parse, to_json
+from strandline.session import cut
 
-#: A field that stands beside a canonical field in at least this share of its objects, over all files, is no other name of it.
-TOGETHER = 0.5
-#: Cost of a deletion or an insertion; a renaming must be cheaper than both together.
-EDIT = 1.0
-#: Agreement of names that an optional field needs to count as renamed: its mere absence says nothing.
-ALIKE = 0.5
+#: Prices: an insertion, the deletion of a required and of an optional field, a move without any renaming.
+INSERT, DELETE, DROP, MOVE = 1.0, 1.0, 0.1, 1.0
+#: Prices of a renaming: of names and structures that agree in nothing, of another JSON type, of always standing together in one object over all files, and of standing so in this file.
+UNLIKE, OTHER_TYPE, TOGETHER, BESIDE = 1.5, 0.4, 2.5, 2.0
 
 
 # ---- trees -------------------------------------------------------------------------------------------------
 
 
-def type_tree(v: object) -> object:
-    """A scalar's JSON type, an object's fields with their trees, an array's distinct element trees."""
-    if isinstance(v, dict):
-        return {k: type_tree(x) for k, x in v.items()}
-    if isinstance(v, list):
-        return [json.loads(s) for s in sorted({json.dumps(type_tree(x), sort_keys=True) for x in v})]
-    return "null" if v is None else "boolean" if isinstance(v, bool) else "integer" if isinstance(v, int) else "number" if isinstance(v, float) else "string"
-
-
 @dataclass
 class Canon:
     """A canonical field with what is below it; ``elem`` holds the fields of an array's objects."""
@@ -68,34 +58,73 @@ def canonical_trees(rows: list[tuple[str, str, str, bool]]) -> dict[str, Canon]:
     return trees
 
 
+def json_type(v: object) -> str:
+    if isinstance(v, dict):
+        return "object"
+    if isinstance(v, list):
+        return "array"
+    return "null" if v is None else "boolean" if isinstance(v, bool) else "integer" if isinstance(v, int) else "number" if isinstance(v, float) else "string"
+
+
+def vocabulary(canon: Canon) -> frozenset[str]:
+    """All field names of a canonical tree."""
+    out, stack = set(), [canon]
+    while stack:
+        c = stack.pop()
+        out |= c.fields.keys()
+        stack += [*c.fields.values(), *([c.elem] if c.elem else [])]
+    return frozenset(out)
+
+
+def schema_facts(v: dict, canon: Canon, names: frozenset[str]) -> set[tuple[str, str, str, str]]:
+    """What a record shows about its schema, as (what, place, a, b), without recursion and only at canonical places.
+
+    ``k``: field a at the place has JSON type b; ``e``: an element of the array there has type a; ``n``: the unknown
+    field a has an inner field b of a canonical name; ``b`` and ``i``: the unknown field a stands beside, or without, the canonical field b.
+    """
+    out: set[tuple[str, str, str, str]] = set()
+    stack: list[tuple[object, Canon, str]] = [(v, canon, "")]
+    while stack:
+        x, c, place = stack.pop()
+        if isinstance(x, dict) and c.kind == "object":
+            for name, y in x.items():
+                out.add(("k", place, name, json_type(y)))
+                sub = c.fields.get(name)
+                if sub is not None:
+                    stack.append((y, sub, f"{place}.{name}" if place else name))
+                    continue
+                for z in y if isinstance(y, list) else (y,):
+                    if isinstance(z, dict):
+                        out.update(("n", place, name, k) for k in z.keys() & names)
+                out.update(("b" if k in x else "i", place, name, k) for k in c.fields)
+        elif isinstance(x, list) and c.kind == "array":
+            for y in x:
+                out.add(("e", place, json_type(y), ""))
+                stack.append((y, c.elem or Canon(), place + "[]"))
+    return out
+
+
 @dataclass
 class Seen:
-    """What a file has at one place: JSON types, fields, array elements, and which unknown fields stand beside or instead of canonical ones."""
-
-    kinds: set[str] = field(default_factory=set)
-    fields: dict[str, Seen] = field(default_factory=dict)
-    elem: Seen | None = None
-    beside: dict[tuple[str, str], int] = field(default_factory=dict)
-    instead: dict[tuple[str, str], int] = field(default_factory=dict)
-
-    def add(self, tree: object, canon: Canon | None, n: int = 1) -> None:
-        if isinstance(tree, dict):
-            self.kinds.add("object")
-            for k, sub in tree.items():
-                self.fields.setdefault(k, Seen()).add(sub, canon.fields.get(k) if canon else None, n)
-            known = canon.fields if canon else {}
-            if known:
-                for u in tree.keys() - known.keys():
-                    for c in known:
-                        side = self.beside if c in tree else self.instead
-                        side[u, c] = side.get((u, c), 0) + n
-        elif isinstance(tree, list):
-            self.kinds.add("array")
-            self.elem = self.elem or Seen()
-            for sub in tree:
-                self.elem.add(sub, canon.elem if canon else None, n)
+    """The schema of a file as its facts give it: types of fields by place, types of elements, inner names of unknown fields, and pairs of names in one object or not, with the share of objects in which they stand together over all files."""
+
+    fields: dict[str, dict[str, set[str]]] = field(default_factory=dict)
+    elems: dict[str, set[str]] = field(default_factory=dict)
+    inner: dict[tuple[str, str], set[str]] = field(default_factory=dict)
+    beside: set[tuple[str, str, str]] = field(default_factory=set)
+    share: dict[tuple[str, str, str], float] = field(default_factory=dict)
+
+    def add(self, what: str, place: str, a: str, b: str, share: float = 0.0) -> None:
+        if what == "k":
+            self.fields.setdefault(place, {}).setdefault(a, set()).add(b)
+        elif what == "e":
+            self.elems.setdefault(place, set()).add(a)
+        elif what == "n":
+            self.inner.setdefault((place, a), set()).add(b)
+        elif what == "b":
+            self.beside.add((place, a, b))
         else:
-            self.kinds.add(str(tree))
+            self.share[place, a, b] = share
 
 
 # ---- edit distance -----------------------------------------------------------------------------------------
@@ -111,15 +140,11 @@ def name_likeness(a: str, b: str) -> float:
     return len(x & y) / min(len(x), len(y)) if x and y else 0.0
 
 
-def rename_cost(u: str, seen: Seen, c: str, canon: Canon) -> float:
-    """0 for another spelling of the same field, up to 1.9 for one that agrees in nothing but its place."""
-    inner = set(canon.fields)
-    if seen.elem is not None and not seen.fields:
-        seen = seen.elem
-    same = len(inner & seen.fields.keys()) / len(inner | seen.fields.keys()) if inner and seen.fields else 0.0
-    likeness = max(name_likeness(u, c), same)
-    off = 0.0 if canon.kind in seen.kinds or seen.kinds <= {"null"} else 0.4
-    return EDIT * (1.5 * (1 - likeness) + off)
+def rename_cost(u: str, kinds: set[str], inner: set[str], c: str, canon: Canon) -> float:
+    """0 for another spelling of the same field, up to UNLIKE + OTHER_TYPE for one that agrees in nothing but its place."""
+    want = canon.fields.keys() | (canon.elem.fields.keys() if canon.elem else set())
+    likeness = max(name_likeness(u, c), len(want & inner) / len(want) if want else 0.0)
+    return UNLIKE * (1 - likeness) + (0.0 if canon.kind in kinds or kinds <= {"null"} else OTHER_TYPE)
 
 
 def assign(cost: list[list[float]]) -> list[int]:
@@ -161,155 +186,150 @@ class Edit:
     op: str  # rename, delete, insert, retype, move
     path: str  # canonical path; for insert the path found; for move the path left
     to: str = ""  # rename: the name found; retype: the types found; move: the path found
-    cost: float = EDIT
+    cost: float = 1.0
+
 
+def _cheapest(rows: list[str], cols: list[str], price, alone: list[float], dropped: list[float]) -> dict[str, tuple[str, float]]:
+    """The pairs of the cheapest script: a row may stay ``alone`` at its price, a column be ``dropped`` at its; a pair saves both."""
+    if not rows or not cols:
+        return {}
+    big = 1e6
+    cost = [[*(price(r, c) - d for c, d in zip(cols, dropped)), *(a if i == j else big for j in range(len(rows)))] for i, (r, a) in enumerate(zip(rows, alone))]
+    return {r: (cols[j], cost[i][j] + dropped[j]) for i, (r, j) in enumerate(zip(rows, assign(cost))) if j < len(cols)}
 
-def edit_script(seen: Seen, canon: Canon, together: set[tuple[str, str, str]] = frozenset(), prefix: str = "") -> list[Edit]:
-    """The cheapest edits from ``canon`` to ``seen``. ``together``: (place, unknown, canonical) that are known to be two fields."""
+
+def edit_script(seen: Seen, canon: Canon) -> list[Edit]:
+    """The cheapest edits from ``canon`` to ``seen``. Absent optional fields are no edit; what lies inside an inserted, renamed, deleted or retyped field is none."""
     out: list[Edit] = []
-    known, found = canon.fields, seen.fields
-    join = lambda n: f"{prefix}.{n}" if prefix else n
-    unknown = sorted(found.keys() - known.keys())
-    names = sorted(known)
-    renamed: dict[str, list[str]] = {}
-    rest = unknown
-    while rest:  # more than one other name may stand for a field, in different records
-        costs = []
+    inserted: dict[str, tuple[str, str]] = {}
+    absent: dict[str, Canon] = {}
+    places = [("", canon)]
+    while places:
+        place, at = places.pop()
+        join = lambda n: f"{place}.{n}" if place else n  # noqa: B023, E731
+        known, found = at.fields, seen.fields.get(place, {})
+        unknown, names = sorted(found.keys() - known.keys()), sorted(known)
+
+        def price(u: str, c: str) -> float:
+            if (place, u, c) not in seen.share:  # noqa: B023  (never one without the other)
+                return 1e6
+            apart = TOGETHER * seen.share[place, u, c] + (BESIDE if (place, u, c) in seen.beside else 0.0)  # noqa: B023
+            return rename_cost(u, found[u], seen.inner.get((place, u), set()), c, known[c]) + apart  # noqa: B023
+
+        renamed: dict[str, list[str]] = {}
+        rest = unknown
+        while rest:  # more than one other name may stand for a field, in different records; only the first saves its deletion
+            saved = [0.0 if c in renamed else DELETE if known[c].required else DROP for c in names]
+            took = _cheapest(rest, names, price, [INSERT] * len(rest), saved)
+            for u, (c, cost) in took.items():
+                renamed.setdefault(c, []).append(u)
+                out.append(Edit("rename", join(c), u, cost))
+            rest = [u for u in rest if u not in took]
+            if not took:
+                break
         for u in rest:
-            row = []
-            for c in names:
-                ok = (u, c) in seen.instead and (u, c) not in seen.beside and (prefix, u, c) not in together
-                ok = ok and (known[c].required or name_likeness(u, c) >= ALIKE)
-                row.append(rename_cost(u, found[u], c, known[c]) if ok else 1e6)
-            costs.append(row + [2 * EDIT if x == y else 1e6 for x in range(len(rest)) for y in (len(costs),)])
-        took = {u: names[j] for u, j in zip(rest, assign(costs)) if j < len(names)} if costs else {}
-        for u, c in took.items():
-            renamed.setdefault(c, []).append(u)
-            out.append(Edit("rename", join(c), u, rename_cost(u, found[u], c, known[c])))
-        rest = [u for u in rest if u not in took]
-        if not took:
-            break
-    out += [Edit("insert", join(u)) for u in rest]
-    for c in names:
-        want, path = known[c], join(c)
-        at = found.get(c)
-        kinds = set().union(*(found[x].kinds for x in [*renamed.get(c, []), *([c] if at else [])])) - {"null"}
-        wrong = sorted(kinds - {want.kind})
-        if wrong:
-            out.append(Edit("retype", path, ",".join(wrong)))
-        if c in renamed or wrong:
-            continue
-        if at is None:
-            if want.required:
-                out.append(Edit("delete", path))
-        elif want.kind == "object" and "object" in at.kinds:
-            out += edit_script(at, want, together, path)
-        elif want.kind == "array" and at.elem is not None and at.elem.kinds:
-            out += edit_script(at.elem, want.elem or Canon(), together, path + "[]")
-    if not prefix:
-        for d in [e for e in out if e.op == "delete"]:
-            for i in [e for e in out if e.op == "insert"]:
-                if d.path.rpartition(".")[2] == i.path.rpartition(".")[2]:
-                    out.append(Edit("move", d.path, i.path, 0.0))
-    return out
+            inserted[join(u)] = (place, u)
+        for c in names:
+            want, path = known[c], join(c)
+            kinds = set().union(*(found[x] for x in [*renamed.get(c, []), *([c] if c in found else [])])) - {"null"}
+            wrong = sorted(kinds - {want.kind})
+            if wrong:
+                out.append(Edit("retype", path, ",".join(wrong)))
+            if c in renamed or wrong:
+                continue
+            if c not in found:
+                absent[path] = want
+            elif want.kind == "object" and "object" in kinds:
+                places.append((path, want))
+            elif want.kind == "array" and seen.elems.get(path):
+                places.append((path + "[]", want.elem or Canon()))
+
+    def move_price(i: str, c: str) -> float:
+        place, u = inserted[i]
+        return MOVE + rename_cost(u, seen.fields[place][u], seen.inner.get((place, u), set()), c.rpartition(".")[2], absent[c]) if i.rpartition(".")[0] != c.rpartition(".")[0] else 1e6
+
+    moved = _cheapest(sorted(inserted), sorted(absent), move_price, [INSERT] * len(inserted), [DELETE if absent[c].required else DROP for c in sorted(absent)])
+    out += [Edit("move", c, i, cost) for i, (c, cost) in moved.items()]
+    out += [Edit("insert", i, "", INSERT) for i in sorted(inserted) if i not in moved]
+    gone = {c for c, _ in moved.values()}
+    return out + [Edit("delete", c, "", DELETE) for c, want in sorted(absent.items()) if want.required and c not in gone]
 
 
 # ---- Spark -------------------------------------------------------------------------------------------------
 
 
-def line_trees(lines: DataFrame) -> DataFrame:
-    """(file_path, record_kind, tree, n): the distinct trees of each file's readable lines. Cut lines, null lines and lines without a kind give none."""
+def _canon_rows(canonical: DataFrame) -> list[tuple]:
+    """The canonical shape is a schema: a fixed number of rows, read by the driver as any schema is."""
+    return [tuple(r) for r in canonical.select("record_kind", "field_path", "json_type", "is_required").collect()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[tuple, int] = {}
-            for f, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    v = parse(line or "")
-                except ValueError:
-                    continue
-                if isinstance(v, dict) and isinstance(v.get("type"), str):
-                    k = (f, v["type"], json.dumps(type_tree(v), sort_keys=True, separators=(",", ":")))
-                    out[k] = out.get(k, 0) + 1
-            cols = [*zip(*out)] or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols] + [pa.array(out.values(), pa.int64())], names=["file_path", "record_kind", "tree", "n"])
 
-    trees = lines.select("file_path", "line").mapInArrow(run, "file_path string, record_kind string, tree string, n bigint")
-    return trees.groupBy("file_path", "record_kind", "tree").agg(F.sum("n").alias("n"))
+def _record(line: str | None) -> dict | None:
+    """The record a line holds, or None for cut and null lines and lines without a kind."""
+    try:
+        v = parse(line or "")
+    except ValueError:
+        return None
+    return v if isinstance(v, dict) and isinstance(v.get("type"), str) else None
 
 
-def _canon_rows(canonical: DataFrame) -> list[tuple]:
-    """The canonical shape is a schema: a fixed number of rows, read by the driver as any schema is."""
-    return [tuple(r) for r in canonical.select("record_kind", "field_path", "json_type", "is_required").collect()]
+def file_facts(lines: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(file_path, record_kind, what, place, a, b, n): the distinct facts of each file's readable lines of known kinds, with the number of records that show them."""
+    rows = _canon_rows(canonical)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = canonical_trees(rows)
+        names = {k: vocabulary(c) for k, c in trees.items()}
+        for batch in batches:
+            out: dict[tuple, int] = {}
+            for f, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                v = _record(line)
+                if v is None or v["type"] not in trees:
+                    continue
+                for fact in schema_facts(v, trees[v["type"]], names[v["type"]]):
+                    k = (f, v["type"], *fact)
+                    out[k] = out.get(k, 0) + 1
+            cols = [*zip(*out)] or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols] + [pa.array(out.values(), pa.int64())], names=["file_path", "record_kind", "what", "place", "a", "b", "n"])
 
-def _places(seen: Seen, prefix: str = "") -> Iterator[tuple[str, Seen]]:
-    yield prefix, seen
-    for k, s in seen.fields.items():
-        yield from _places(s, f"{prefix}.{k}" if prefix else k)
-    if seen.elem is not None:
-        yield from _places(seen.elem, prefix + "[]")
+    facts = lines.select("file_path", "line").mapInArrow(run, "file_path string, record_kind string, what string, place string, a string, b string, n bigint")
+    return facts.groupBy("file_path", "record_kind", "what", "place", "a", "b").agg(F.sum("n").alias("n"))
 
 
 def scripts(lines: DataFrame, canonical: DataFrame) -> DataFrame:
     """(file_path, record_kind, op, path, to, cost): the edit script of each file and kind.
 
-    A name counts as another name of a field unless the two stand in one object more often than not over
-    all files; that count is gathered over the distinct trees of all files and joined back by name pair.
-    Kinds of record that canonical_fields does not have are left out.
+    How often two names stand in one object is counted over all files and joined back to the files that have one
+    without the other. Kinds of record that canonical_fields does not have are left out.
     """
     rows = _canon_rows(canonical)
-    trees = line_trees(lines).where(F.col("record_kind").isin(sorted({r[0] for r in rows})))
-    trees = trees.persist()
-
-    def pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        canon = canonical_trees(rows)
-        for p in parts:
-            out = []
-            for kind, tree, n in zip(p.record_kind, p.tree, p.n):
-                seen = Seen()
-                seen.add(json.loads(tree), canon[kind], n)
-                for place, s in _places(seen):
-                    out += [(kind, place, u, c, k, 0) for (u, c), k in s.beside.items()] + [(kind, place, u, c, 0, k) for (u, c), k in s.instead.items()]
-            yield pd.DataFrame(out, columns=["record_kind", "place", "u", "c", "beside", "instead"])
-
-    corpus = trees.groupBy("record_kind", "tree").agg(F.sum("n").alias("n"))
-    known_pairs = corpus.mapInPandas(pairs, "record_kind string, place string, u string, c string, beside bigint, instead bigint").groupBy("record_kind", "place", "u", "c").agg(F.sum("beside").alias("b"), F.sum("instead").alias("i"))
-    two_fields = known_pairs.where(F.col("b") >= TOGETHER * (F.col("b") + F.col("i"))).select("record_kind", "place", "u", "c")
-    files = trees.groupBy("file_path", "record_kind").agg(F.collect_list(F.struct("tree", "n")).alias("trees"))
-
-    def candidates(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        canon = canonical_trees(rows)
-        for p in parts:
-            out = set()
-            for f, kind, tree in zip(p.file_path, p.record_kind, p.tree):
-                seen = Seen()
-                seen.add(json.loads(tree), canon[kind])
-                out |= {(f, kind, place, u, c) for place, s in _places(seen) for u, c in s.instead}
-            yield pd.DataFrame([*out], columns=["file_path", "record_kind", "place", "u", "c"])
-
-    own = trees.mapInPandas(candidates, "file_path string, record_kind string, place string, u string, c string").distinct()
-    fixed = own.join(two_fields, ["record_kind", "place", "u", "c"], "left_semi").groupBy("file_path", "record_kind").agg(F.collect_list(F.struct("place", "u", "c")).alias("fixed"))
+    facts = cut(file_facts(lines, canonical))
+    pair = ["record_kind", "place", "a", "b"]
+    together = facts.where("what in ('b', 'i')").groupBy(*pair).agg((F.sum(F.when(F.col("what") == "b", F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
+    apart = facts.where("what = 'i'").join(together, pair).select("file_path", "record_kind", "what", "place", "a", "b", "share")
+    whole = facts.where("what <> 'i'").select("file_path", "record_kind", "what", "place", "a", "b", F.lit(0.0).alias("share")).unionByName(apart)
+    files = whole.groupBy("file_path", "record_kind").agg(F.collect_list(F.struct("what", "place", "a", "b", "share")).alias("facts"))
 
     def diff(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        canon = canonical_trees(rows)
+        trees = canonical_trees(rows)
         for p in parts:
             out = []
-            for f, kind, ts, fx in zip(p.file_path, p.record_kind, p.trees, p.fixed):
+            for f, kind, facts in zip(p.file_path, p.record_kind, p.facts):
                 seen = Seen()
-                for t in ts:
-                    seen.add(json.loads(t["tree"]), canon[kind], t["n"])
-                together = {(x["place"], x["u"], x["c"]) for x in fx} if fx is not None else set()
-                out += [(f, kind, e.op, e.path, e.to, float(e.cost)) for e in edit_script(seen, canon[kind], together)]
+                for x in facts:
+                    seen.add(x["what"], x["place"], x["a"], x["b"], x["share"])
+                out += [(f, kind, e.op, e.path, e.to, float(e.cost)) for e in edit_script(seen, trees[kind])]
             yield pd.DataFrame(out, columns=["file_path", "record_kind", "op", "path", "to", "cost"])
 
-    return files.join(fixed, ["file_path", "record_kind"], "left").select("file_path", "record_kind", "trees", "fixed").mapInPandas(diff, "file_path string, record_kind string, op string, path string, to string, cost double")
+    return files.mapInPandas(diff, "file_path string, record_kind string, op string, path string, to string, cost double")
 
 
-def changes(script: DataFrame) -> DataFrame:
-    """(file_path, record_kind, field_path, change_kind) of a script; a move counts as the removal and the addition it is made of."""
-    kind = F.when(F.col("op") == "insert", "added").when(F.col("op") == "rename", "renamed").when(F.col("op") == "delete", "removed").when(F.col("op") == "retype", "type_changed")
-    return script.where("op <> 'move'").select("file_path", "record_kind", F.col("path").alias("field_path"), kind.alias("change_kind")).distinct()
+def changes(script: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(file_path, record_kind, field_path, change_kind) of a script. A move counts as the addition it consists of and, of a required field, the removal."""
+    kind = F.when(F.col("op").isin("insert", "move"), "added").when(F.col("op") == "rename", "renamed").when(F.col("op") == "delete", "removed").when(F.col("op") == "retype", "type_changed")
+    out = script.select("file_path", "record_kind", F.when(F.col("op") == "move", F.col("to")).otherwise(F.col("path")).alias("field_path"), kind.alias("change_kind"))
+    required = F.broadcast(canonical.where("is_required").select("record_kind", F.col("field_path").alias("path")))  # a fixed number of rows
+    left = script.where("op = 'move'").join(required, ["record_kind", "path"], "left_semi").select("file_path", "record_kind", F.col("path").alias("field_path"), F.lit("removed").alias("change_kind"))
+    return out.unionByName(left).distinct()
 
 
 _NUMBER = re.compile(r"^\s*(-?\d{1,3}(?:[,_ ]\d{3})+|-?\d+)(?:\.0+)?\s*[A-Za-z]*\s*$")
@@ -329,7 +349,7 @@ def _coerce(v: object, kind: str) -> object:
         m = _NUMBER.match(v) if isinstance(v, str) else None
         return int(re.sub(r"[,_ ]", "", m[1])) if m and len(m[1]) < 20 else None
     if kind == "string":
-        return v if isinstance(v, str) or v is None else json.dumps(v)
+        return v if isinstance(v, str) or v is None else to_json(v)
     if isinstance(v, str):
         try:
             v = parse(v)
@@ -337,7 +357,49 @@ def _coerce(v: object, kind: str) -> object:
             v = [v] if kind == "array" else None
     if kind == "array" and v is not None and not isinstance(v, list):
         v = [v]
-    return json.dumps(v) if isinstance(v, dict | list) else None
+    return to_json(v) if isinstance(v, dict | list) else None
+
+
+def column_of(path: str) -> str:
+    return path.replace("[]", "_items").replace(".", "__")
+
+
+def _at(v: object, path: str) -> object:
+    for name in path.split("."):
+        if not isinstance(v, dict) or name not in v:
+            return None
+        v = v[name]
+    return v
+
+
+def project(v: dict, canon: Canon, other: dict[str, list[str]], moved: dict[str, str]) -> tuple[dict, dict[str, object]]:
+    """(record in the canonical shape, the rest): fields under their canonical names, those of array elements too; what the canonical tree does not know comes out by path."""
+    rest: dict[str, object] = {}
+    taken = set(moved.values())
+
+    def shaped(x: object, c: Canon, place: str) -> object:  # as deep as the canonical tree
+        if isinstance(x, list) and len(x) == 1 and c.kind == "object":
+            x = x[0]
+        if c.kind == "array" and isinstance(x, list) and c.elem:
+            return [shaped(y, c.elem, place + "[]") for y in x]
+        if c.kind != "object" or not c.fields or not isinstance(x, dict):
+            return x
+        out, used = {}, set()
+        for name, sub in c.fields.items():
+            path = f"{place}.{name}" if place else name
+            key = name if name in x else next((n for n in other.get(path, ()) if n in x), None)
+            if key is not None:
+                used.add(key)
+                out[name] = shaped(x[key], sub, path)
+            elif path in moved:
+                out[name] = shaped(_at(v, moved[path]), sub, path)
+        for k, y in x.items():
+            path = f"{place}.{k}" if place else k
+            if k not in used and path not in taken:
+                rest.setdefault(path, []).append(y) if "[]" in path else rest.__setitem__(path, y)
+        return out
+
+    return shaped(v, canon, ""), rest
 
 
 def column_of(path: str) -> str:
@@ -345,47 +407,38 @@ def column_of(path: str) -> str:
 
 
 def unified(lines: DataFrame, canonical: DataFrame, script: DataFrame) -> DataFrame:
-    """Every readable line of a known kind in the canonical shape: (line_id, file_path, line_no, record_kind, one column a canonical field outside arrays).
+    """Every readable line of a known kind in the canonical shape: (line_id, file_path, line_no, record_kind, one column a canonical field outside arrays, other).
 
-    Renamed fields come back under their canonical name, values of another type are converted where that loses
-    nothing and null elsewhere; integers are bigint, strings string, objects and arrays JSON text.
+    Renamed and moved fields come back under their canonical name, those inside array elements too; values of
+    another type are converted where that loses nothing and null elsewhere; integers are bigint, strings string,
+    objects and arrays JSON text. ``other`` maps the path of each field that the canonical shape does not have to its JSON text.
     """
     rows = _canon_rows(canonical)
     shape = {p: k for _, p, k, _ in sorted(rows) if "[]" not in p and k != "object" or p.count(".") and k == "object"}
     cols = {p: column_of(p) for p in shape}
-    names = script.where("op = 'rename'").groupBy("file_path").agg(F.collect_list(F.struct("record_kind", "path", "to")).alias("renames"))
-    known = {r[0] for r in rows}
+    edits = script.where("op in ('rename', 'move')").groupBy("file_path").agg(F.collect_list(F.struct("record_kind", "op", "path", "to")).alias("edits"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees = canonical_trees(rows)
         for p in parts:
             out = []
-            for i, f, no, line, renames in zip(p.line_id, p.file_path, p.line_no, p.line, p.renames):
-                try:
-                    v = parse(line or "")
-                except ValueError:
-                    continue
-                if not isinstance(v, dict) or v.get("type") not in known:
+            for i, f, no, line, own in zip(p.line_id, p.file_path, p.line_no, p.line, p.edits):
+                v = _record(line)
+                if v is None or v["type"] not in trees:
                     continue
                 other: dict[str, list[str]] = {}
-                for r in renames if renames is not None else ():
-                    if r["record_kind"] == v["type"]:
-                        other.setdefault(r["path"], []).append(r["to"])
-
-                def get(path: str) -> object:
-                    at, walked = v, ""
-                    for name in path.split("."):
-                        walked = f"{walked}.{name}" if walked else name
-                        if isinstance(at, list) and len(at) == 1:
-                            at = at[0]
-                        if not isinstance(at, dict):
-                            return None
-                        at = at.get(name, next((at[x] for x in other.get(walked, ()) if x in at), None))
-                    return at
-
-                out.append([i, f, no, v["type"], *(_coerce(get(q), shape[q]) for q in shape)])
-            df = pd.DataFrame(out, columns=["line_id", "file_path", "line_no", "record_kind", *cols.values()])
+                moved: dict[str, str] = {}
+                for e in own if own is not None else ():
+                    if e["record_kind"] == v["type"]:
+                        if e["op"] == "move":
+                            moved[e["path"]] = e["to"]
+                        else:
+                            other.setdefault(e["path"], []).append(e["to"])
+                got, rest = project(v, trees[v["type"]], other, moved)
+                out.append([i, f, no, v["type"], *(_coerce(_at(got, q), shape[q]) for q in shape), {k: to_json(x) for k, x in rest.items()}])
+            df = pd.DataFrame(out, columns=["line_id", "file_path", "line_no", "record_kind", *cols.values(), "other"])
             yield df.astype({cols[q]: "Int64" for q, k in shape.items() if k == "integer"})
 
-    ddl = "line_id bigint, file_path string, line_no int, record_kind string, " + ", ".join(f"`{cols[p]}` {'bigint' if k == 'integer' else 'string'}" for p, k in shape.items())
+    ddl = "line_id bigint, file_path string, line_no int, record_kind string, " + ", ".join(f"`{cols[p]}` {'bigint' if k == 'integer' else 'string'}" for p, k in shape.items()) + ", other map<string, string>"
     own = lines.select("line_id", "file_path", "line_no", "line")
-    return own.join(names, "file_path", "left").select("line_id", "file_path", F.col("line_no").cast("int"), "line", "renames").mapInPandas(run, ddl)
+    return own.join(edits, "file_path", "left").select("line_id", "file_path", F.col("line_no").cast("int"), "line", "edits").mapInPandas(run, ddl)

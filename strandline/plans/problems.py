@@ -58,7 +58,8 @@ def p3_spawns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.changes(schema_drift.scripts(table(spark, d, "rollout_lines"), table(spark, d, "canonical_fields")))
+    canonical = table(spark, d, "canonical_fields")
+    return schema_drift.changes(schema_drift.scripts(table(spark, d, "rollout_lines"), canonical), canonical)
 
 
 def p5_unified(spark: SparkSession, d: str) -> DataFrame:

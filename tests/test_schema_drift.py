@@ -28,7 +28,7 @@ def changes(spark, files, extra=True):
     canon = spark.createDataFrame(CANON, "record_kind string, field_path string, json_type string, is_required boolean")
     sc = S.scripts(df, canon).cache()
     out = {}
-    for r in S.changes(sc).collect():
+    for r in S.changes(sc, canon).collect():
         out.setdefault(r.file_path, set()).add((r.field_path, r.change_kind))
     return out, sc, df, canon
 
@@ -78,9 +78,47 @@ def test_assignment_is_optimal():
         assert abs(got - min(sum(cost[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))) < 1e-9
 
 
-def test_moves():
-    canon = S.canonical_trees([("k", "a", "object", True), ("k", "a.x", "string", True), ("k", "b", "object", True)])["k"]
-    seen = S.Seen()
-    seen.add(S.type_tree({"a": {}, "b": {"x": "1"}}), canon)
-    ops = {(e.op, e.path, e.to) for e in S.edit_script(seen, canon)}
-    assert ("move", "a.x", "b.x") in ops and S._coerce("16,496 tokens", "integer") == 16496 and S._coerce({"ms": 4}, "integer") == 4
+def seen_of(canon, *records, share=0.0):
+    seen, names = S.Seen(), S.vocabulary(canon)
+    for r in records:
+        for f in S.schema_facts(r, canon, names):
+            seen.add(*f, share)
+    return seen
+
+
+def test_moves_are_priced():
+    canon = S.canonical_trees([("k", "a", "object", True), ("k", "a.x", "string", True), ("k", "a.o", "string", False), ("k", "b", "object", True)])["k"]
+    ops = lambda *r: {(e.op, e.path, e.to) for e in S.edit_script(seen_of(canon, *r), canon)}
+    assert ops({"a": {}, "b": {"x": "1"}}) == {("move", "a.x", "b.x")} and ops({"a": {"x": "1"}, "b": {"o": "1"}}) == {("move", "a.o", "b.o")}
+    assert ops({"a": {}, "b": {"q": 1}}) == {("delete", "a.x", ""), ("insert", "b.q", "")}  # too unlike to have moved
+    assert ops({"a": {}, "b": {"xs": "1"}}) == {("move", "a.x", "b.xs")} and ops({"a": {}, "b": {}, "x": "1"}) == {("move", "a.x", "x")}
+    assert S._coerce("16,496 tokens", "integer") == 16496 and S._coerce({"ms": 4}, "integer") == 4
+
+
+def test_prices_decide(monkeypatch):
+    rows = [("k", "p", "object", True), ("k", "p.total_tokens", "integer", True), ("k", "p.turn_id", "string", True), ("k", "p.note", "string", False)]
+    canon = S.canonical_trees(rows)["k"]
+    one = {"p": {"turnRef": "t", "tokens_total": 3, "memo": "m"}}
+    ops = lambda share=0.0: {(e.op, e.path, e.to) for e in S.edit_script(seen_of(canon, one, share=share), canon)}
+    want = {("rename", "p.total_tokens", "tokens_total"), ("rename", "p.turn_id", "turnRef"), ("insert", "p.memo", "")}
+    assert ops() == want
+    assert ("rename", "p.total_tokens", "tokens_total") not in ops(share=1.0)  # two names that always stand together are two fields
+    monkeypatch.setattr(S, "rename_cost", lambda *a: 0.5)
+    assert ops() != want
+
+
+def test_moves_and_elements_in_one_table(spark):
+    files = {"moved": [json.dumps({"type": "k", "p": {"total_tokens": 5, "meta": {}, "items": []}, "turn_id": "t"})], "elements": [line(p__items=[{"txt": "a", "lang": "en"}, {"text": "b"}], p__extra={"in": [1]})]}
+    got, sc, df, canon = changes(spark, files)
+    assert got["moved"] == {("turn_id", "added"), ("p.meta.turn_id", "removed")} and got["elements"] == {("p.items[].text", "renamed"), ("p.items[].lang", "added"), ("p.extra", "added")}
+    u = {r.file_path: r for r in S.unified(df, canon, sc).collect()}
+    assert u["moved"].p__meta__turn_id == "t" and u["moved"].other == {}
+    assert json.loads(u["elements"].p__items) == [{"text": "a"}, {"text": "b"}] and u["elements"].other == {"p.extra": '{"in": [1]}', "p.items[].lang": '["en"]'}
+
+
+def test_deep_line(spark):
+    deep = "[" * 50_000 + "]" * 50_000
+    files = {"deep": [line()[:-1] + f', "x": {deep}}}', line(p__note=...)]}
+    got, sc, df, canon = changes(spark, files)
+    assert got == {"deep": {("x", "added")}}
+    assert {len(r.other.get("x", "")) for r in S.unified(df, canon, sc).collect()} == {0, 100_000}
