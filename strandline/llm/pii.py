@@ -1,11 +1,12 @@
 """Personal information in free text: finding and replacing it.
 
-Mentions that may be an email address, phone number, identity number, address or person name become the nodes
-of a conditional random field, one a text. A node's own potential is log-linear in its form, its context and
-what the whole corpus says about its words; neighbours in the text are coupled weakly, and skip edges couple
-mentions anywhere in the text that share words, so that one clear mention settles its unclear repetitions.
-Marginals come from loopy message passing. The weights are fitted to mentions in telling contexts, starting
-from and held to stated prior weights.
+Spans that may be an email address, phone number, identity number, address or person name become the nodes of a
+conditional random field, one a text. A node's own potential is log-linear in its form, in what the whole corpus
+says about its words, and in the words around it, by hashed features whose weights are learned. Neighbours in the
+text are coupled, spans that overlap exclude each other, and skip edges couple mentions anywhere in the text that
+share words or nearly do, so that one clear mention settles its unclear repetitions. Marginals come from loopy
+message passing until the messages stand still. The weights of nodes and edges are fitted together by
+pseudo-likelihood, with the labels of unclear mentions taken from the field of the round before.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 SLOTS = 1 << 19
 #: Texts used at most for fitting the weights, the ones with the smallest hash.
 FIT_TEXTS = 6_000
-#: Strength with which weights are held to their priors, the couplings of neighbours and of mentions that share words, rounds of messages.
-HOLD, NEAR, SAME, ROUNDS = 20.0, 0.3, 2.0, 12
+#: Strength with which weights are held to their priors (node weights, context weights, couplings), prior couplings of neighbours and of mentions that share words, most rounds of messages and the change at which they stand still.
+HOLD, HOLD_CONTEXT, HOLD_EDGE, NEAR, SAME, ROUNDS, STILL = 20.0, 2.0, 20.0, 0.3, 2.0, 60, 1e-3
+#: Slots of the hashed words around a mention, rounds of fitting, distance in characters up to which mentions are neighbours.
+CONTEXT, FIT_ROUNDS, NEARBY = 1 << 15, 2, 30
 
 _DOT = r"(?:\.|[ \t]+\.[ \t]+|[ \t]*[\[({][ \t]*(?:dot|\.)[ \t]*[\])}][ \t]*|[ \t]+dot[ \t]+)"
 _AT = r"(?:[ \t]?@[ \t]?|[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*)"
@@ -54,7 +57,7 @@ ID_NUMBER = regex.compile(r"(?<![\w.\-+/#])(?:\d{3}([\- ])\d{2}\1\d{4}|[A-Za-z]{
 #: Words that name streets (fixed values).
 _STREET = "street st road rd avenue ave lane ln drive dr court ct crescent cres terrace ter way place pl square sq close row gardens grove mews boulevard blvd parkway hill rise walk alley quay wharf parade circus green"
 _UNIT = r"(?:(?:flat|apt\.?|apartment|unit|suite|room)[ \t]*#?[0-9][0-9A-Za-z]*,?[ \t]*[, \n][ \t]*)?"
-_PLACE = r"(?:[ \t]*[,\n][ \t]*(?:\d{4,6}[ \t]+)?\p{Lu}[\p{L}\-]+(?:,?[ \t]+\d{4,6})?)?"
+_PLACE = r"(?:[ \t]*[,\n][ \t]*(?:\d{4,6}[ \t]+)?\p{Lu}[\p{L}\-]+(?:,?[ \t]+\d{4,6}(?![ \t]?\d))?)?"
 ADDRESS = regex.compile(
     rf"(?<![\w./\-])(?i:{_UNIT}\d{{1,5}}[a-z]?,?[ \t]+(?:[\p{{L}}'’\-]+[ \t]+){{1,3}}(?:{'|'.join(sorted(_STREET.split(), key=len, reverse=True))})(?![\w\-])\.?"
     r"|(?:p\.?[ \t]?o\.?[ \t]?box|postfach|apartado(?:[ \t]de[ \t]correos)?|а/я)[ \t]+\d[\d ]*"
@@ -81,10 +84,9 @@ LOW_NAME = regex.compile(rf"(?<![\w@.+/\-'’]|\w\.)(?:{_name(_L, r'\p{Ll}[.]')}
 #: Contexts that announce a name in whatever case, and titles (fixed values).
 CUE_NAME = regex.compile(r"(?:\b(?:signed-off-by|co-authored-by|from|reported-by|reviewer|author|contact|person|name|fullname|full_name|owner|recipient|customer|patient|employee|user|by)[\"']?\s*[:=]\s*[\"']?|\b(?:assigned to|regards,|thanks,|cheers,|gruß,|cordialement,)\s*|\b(?:dr|mr|mrs|ms|mx|prof|herr|frau|sr|sra|mme|m|г-н|г-жа|господин|госпожа)\.?[ \t]+)$", regex.I)
 TITLE = regex.compile(r"\b(?:dr|mr|mrs|ms|mx|prof|herr|frau|sr|sra|mme|г-н|г-жа|господин|госпожа)\.?[ \t]+$", regex.I)
-BY_NAME = regex.compile(r"\b(?:by|with|to|ask|reach|use|as|for|from|via|user|the customer|and|meeting with|complaint came from|parcel for|invoice goes to|check with|frag bitte|pregunta a|demande à|звоните|спрашивал|спроси|an|von|por|par)\s+$|;$|\|\s*$", regex.I)
-AFTER_NAME = regex.compile(r"^\s*(?:<|\(|[\[(]?(?:id no|tel|phone|\+)|['’]s\b|[\"',;|]|(?:wrote|said|pointed|asked|works|reported|who|the job|about|in support|danach|по номеру|came back|on [+\d(0])|\d)", regex.I)
-NO_NAME_BEFORE = regex.compile(r"\b(?:the|a|an|this|that|our|der|die|das|le|la|el|run|then)\s+(?:\d+\s+)?$|\d\s+$", regex.I)
-NO_NAME_AFTER = regex.compile(r"^\s*(?:team|release|dashboard|project|service|parser|cache|module|build|branch|app|api|are both|is idle|plan|package|version|queue|board|(?:share|shares) this|street|road|avenue|lane|ave|rd|st|drive|court|way|terrace|crescent|\d)\b", regex.I)
+#: Articles in front of things, not of persons, and words for things behind their names (fixed values).
+NO_NAME_BEFORE = regex.compile(r"\b(?:the|a|an|this|that|our|der|die|das|le|la|el)\s+(?:\d+\s+)?$|\d\s+$", regex.I)
+NO_NAME_AFTER = regex.compile(r"^\s*(?:team|release|dashboard|project|service|parser|cache|module|build|branch|app|api|plan|package|version|queue|board|street|road|avenue|lane|ave|rd|st|drive|court|way|terrace|crescent|\d)\b", regex.I)
 CUE = {
     "email": regex.compile(r"(?:mail|e-mail|cc|to|from|<|mailto:|login|contact|at|or at|an|на|write|reach)\W*(?:=|:)?\W*$", regex.I),
     "phone": regex.compile(r"(?:tel|phone|mobile|call|ring|text|whatsapp|number|nummer|ruf|номеру?|телефон|звоните|callback|fax|mobil|contact|on|me at|left|is|[|(;,]|\")\W*(?:=|:)?\W*$", regex.I),
@@ -93,13 +95,13 @@ CUE = {
 }
 TECHNICAL = regex.compile(r"\b(?:port|version|build|commit|line|epoch|range|session|part number|invoice|total|ratio|call \w+ with|row|ticket|sprint|v|exit code|bytes?|tokens?)\W*$", regex.I)
 
-FEATURES = ("bias", "cue", "weak_cue", "after", "against_before", "against_after", "technical", "first_name", "dictionary", "initial", "title", "comma", "low", "form")
+FEATURES = ("bias", "cue", "rare", "starts", "against_before", "against_after", "technical", "first_name", "dictionary", "initial", "title", "comma", "low", "form")
 PRIOR = {
     "email": (3.0, 1.0, 0, 0, 0, 0, -0.5, 0, 0, 0, 0, 0, 0, 1.0),
     "phone": (1.2, 1.5, 0, 0.3, 0, 0, -3.0, 0, 0, 0, 0, 0, 0, 1.5),
     "id_number": (1.5, 1.5, 0, 0.3, 0, 0, -3.0, 0, 0, 0, 0, 0, -1.5, 1.0),
     "address": (1.5, 1.0, 0, 0.3, 0, 0, -3.0, 0, -1.0, 0, 0, 0, -0.5, 1.0),
-    "name": (-1.8, 2.5, 1.0, 0.8, -2.5, -4.0, 0, 1.6, -2.2, 1.5, 2.5, -0.7, -1.5, 0),
+    "name": (-1.8, 2.5, 0.5, -0.5, -2.5, -4.0, 0, 1.6, -2.2, 1.5, 2.5, -0.7, -1.5, 0),
 }
 
 
@@ -111,6 +113,35 @@ class Mention:
     x: list[float]
     words: frozenset[str]
     telling: int = 0  # 1 and -1: the context alone decides
+    context: tuple[int, ...] = ()  # slots of the words around
+
+
+@dataclass
+class Model:
+    """Weights of the nodes by kind, of the words around a mention, and the couplings of neighbours and of mentions that share words."""
+
+    node: dict[str, np.ndarray]
+    context: np.ndarray
+    near: float = NEAR
+    same: float = SAME
+
+    def unary(self, m: Mention) -> float:
+        return float(np.dot(self.node[m.kind], m.x)) + (float(self.context[list(m.context)].sum()) if m.context else 0.0)
+
+
+def prior_model() -> Model:
+    return Model({k: np.array(v, dtype=float) for k, v in PRIOR.items()}, np.zeros(CONTEXT, dtype=np.float32))
+
+
+_AROUND = regex.compile(r"\w+|[^\w\s]|\n")
+
+
+def around(kind: str, left: str, right: str) -> tuple[int, ...]:
+    """Slots of the words and marks next to a mention: one and two to the left, one and two to the right."""
+    before, after = ([x.lower() if not x.isdigit() else "0" for x in _AROUND.findall(t)] for t in (left, right))
+    before, after = ["^", "^", *before][-2:], [*after, "$", "$"][:2]
+    keys = (f"l{before[1]}", f"ll{before[0]} {before[1]}", f"r{after[0]}", f"rr{after[0]} {after[1]}")
+    return tuple(zlib.crc32(f"{kind} {k}".encode("utf-8", "replace")) % CONTEXT for k in keys)
 
 
 def slots(word: str) -> tuple[int, int]:
@@ -122,7 +153,7 @@ class Statistics:
     """Hashed counts of words over the corpus: in lower case, capitalised, as first word of a mention that may be a name, and of one that is announced as a name."""
 
     def __init__(self, table: np.ndarray | None = None) -> None:
-        self.table = np.zeros((4, 2 * SLOTS), dtype=np.int32) if table is None else table
+        self.table = np.zeros((4, 2 * SLOTS), dtype=np.int64) if table is None else table
         self.memory: dict[str, tuple[float, float]] = {}
 
     def of(self, word: str) -> tuple[float, float]:
@@ -145,6 +176,10 @@ class Statistics:
         low, cap = self.counts(word.lower(), 0, 1)
         return low / (low + cap) if low + cap > 1 and low > 2 else 0.0
 
+    def rare(self, word: str) -> float:
+        """1 for words that the corpus never has in lower case."""
+        return float(self.counts(word.lower(), 0, 1)[0] == 0)
+
     def first_name(self, word: str) -> float:
         """Log odds, from -3 to 2, that a mention that begins with the word is a name, from how often such mentions are announced as names."""
         best = -3.0
@@ -156,12 +191,15 @@ class Statistics:
 
 #: Words that stand free, not in an email address, path or identifier.
 _FREE = regex.compile(r"(?<![\w@.+/\\\-=])\p{L}[\p{L}'’]*(?:-\p{L}[\p{L}'’]*)*(?![\w@/=]|[.\-+]\w|[ \t]?@)")
+#: The end of a sentence or line, behind which any word has a capital.
+_START = regex.compile(r"(?:^|[.!?…:\n][\"'”»)\]]*)\s*$")
+_GAP = regex.compile(r"[ \t,]*")
 _TOKEN = regex.compile(r"\p{L}[\p{L}'’]*(?:-\p{L}[\p{L}'’]*)*")
 
 
 def name_mentions(text: str, stats: Statistics, lower: bool = True) -> Iterator[Mention]:
     """Pairs of words, or initials and a word, that may be a full name. A common word at the front is taken off and the rest tried again."""
-    spent: list[tuple[int, int]] = []
+    spent = bytearray(len(text))  # characters of mentions that are settled; linear in the text
     for pattern, low in ((NAME, False), (LOW_NAME, True))[: 1 + lower]:
         at = 0
         while m := pattern.search(text, at):
@@ -171,9 +209,9 @@ def name_mentions(text: str, stats: Statistics, lower: bool = True) -> Iterator[
             at = head.end() if head else at
             if low:
                 word = head[0] if head else ""
-                if len(word) > 1 and "," not in text[start:end] and (stats.of(word)[0] > 0.3 or word in _STOP or stats.of(word)[1] <= 0.5 and text[start - 1 : start] not in ("=", '"', "'", " ", "\t")):
+                if len(word) > 1 and "," not in text[start:end] and (stats.of(word)[0] > 0.3 or word in _STOP or stats.of(word)[1] <= 0.5 and text[start - 1 : start] not in ("=", '"', "'", " ", "\t", ":", "\n")):
                     continue
-            if any(a < end and start < b for a, b in spent):
+            if spent.find(1, start, end) >= 0:
                 continue
             cut = regex.sub(r"['’]s?$", "", text[start:end])
             end = start + len(cut)
@@ -193,7 +231,7 @@ def name_mentions(text: str, stats: Statistics, lower: bool = True) -> Iterator[
                 continue
             if not low and (stats.of(toks[0])[0] > 0.5 or toks[0].lower() in _STOP) and not (told and fame > 0.5):
                 continue  # "Ask Ida Hall": the search goes on behind the first word
-            if fame < 0.3 and not told and (m2 := pattern.match(text, at + len(text[at:]) - len(text[at:].lstrip(" \t,")))):
+            if fame < 0.3 and not told and (m2 := pattern.match(text, _GAP.match(text, at).end())):
                 rest = [t for t in _TOKEN.findall(m2[0]) if len(t) > 1]
                 if rest and stats.of(rest[-1] if "," in m2[0] else rest[0])[1] > fame + 0.5:
                     continue  # "Reach Ida Hall": the first word never begins a name
@@ -203,10 +241,10 @@ def name_mentions(text: str, stats: Statistics, lower: bool = True) -> Iterator[
                 continue  # "Ida Hall, Ida Berg" is no surname in front of a first name
             against = bool(NO_NAME_BEFORE.search(left)) and not bool(TITLE.search(left))
             after_no = bool(NO_NAME_AFTER.search(right))
-            x = [1.0, float(told), float(bool(BY_NAME.search(left))), float(bool(AFTER_NAME.search(right))), float(against), float(after_no), 0.0, fame, common, float(initials), float(bool(TITLE.search(left))), float(comma), float(low), 0.0]
-            yield Mention("name", start, end, x, frozenset(t.lower() for t in toks), 1 if told and not against and not after_no else -1 if after_no and not told else 0)
+            x = [1.0, float(told), min(stats.rare(t) for t in toks), float(bool(_START.search(left))), float(against), float(after_no), 0.0, fame, common, float(initials), float(bool(TITLE.search(left))), float(comma), float(low), 0.0]
+            yield Mention("name", start, end, x, frozenset(t.lower() for t in toks), 1 if told and not against and not after_no else -1 if after_no and not told else 0, around("name", left, right))
             if fame > 0 or told or initials:
-                spent.append((start, end))
+                spent[start:end] = b"\x01" * (end - start)
                 at = end
 
 
@@ -239,59 +277,86 @@ def number_mentions(text: str, stats: Statistics) -> Iterator[Mention]:
 
 
 def mentions(text: str, stats: Statistics) -> list[Mention]:
-    """The nodes of a text in order. Where kinds overlap the earlier in the list of kinds stays, but an identity number beats a phone number of no clear form."""
-    out: list[Mention] = []
+    """The nodes of a text in order. Where kinds of numbers overlap the earlier in the list of kinds stays, but an identity number beats a phone number of no clear form."""
+    owner = np.zeros(len(text), dtype=np.int32)  # 1 + the number of the mention at each character
+    found: list[Mention | None] = []
     for m in number_mentions(text, stats):
-        over = [o for o in out if o.start < m.end and m.start < o.end]
-        if all(o.kind == "phone" and m.kind == "id_number" and o.x[-1] < 0.5 for o in over):
-            out = [o for o in out if o not in over]
-            out.append(m)
-    for m in name_mentions(text, stats):
-        if not any(o.start < m.end and m.start < o.end for o in out):
-            out.append(m)
-    return sorted(out, key=lambda m: m.start)
-
-
-def marginals(nodes: list[Mention], weights: dict[str, np.ndarray]) -> list[float]:
-    """P(personal) of each node by loopy sum-product messages in log odds."""
-    unary = [float(np.dot(weights[m.kind], m.x)) for m in nodes]
-    edges: list[tuple[int, int, float]] = [(i, i + 1, NEAR) for i in range(len(nodes) - 1) if nodes[i + 1].start - nodes[i].end < 30]
+        over = {int(k) for k in np.unique(owner[m.start : m.end]) if k}
+        if all(found[k - 1].kind == "phone" and m.kind == "id_number" and found[k - 1].x[-1] < 0.5 for k in over):
+            for k in over:
+                old = found[k - 1]
+                owner[old.start : old.end] = 0
+                found[k - 1] = None
+            found.append(m)
+            owner[m.start : m.end] = len(found)
+    out = [m for m in found if m]
+    out += [m for m in name_mentions(text, stats) if not owner[m.start : m.end].any()]
+    return sorted(out, key=lambda m: (m.start, m.end))
+
+
+def edges_of(nodes: list[Mention]) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
+    """(near, same, apart): neighbours, mentions that share a word or its first five letters, linked in one chain a word, and mentions that overlap."""
+    near, apart = [], []
+    for i, m in enumerate(nodes):
+        j = i + 1
+        while j < len(nodes) and nodes[j].start < m.end:
+            apart.append((i, j))
+            j += 1
+        if j < len(nodes) and nodes[j].start - m.end < NEARBY:
+            near.append((i, j))
     last: dict[tuple[str, str], int] = {}
-    for i, m in enumerate(nodes):  # each word links a mention to the next one that has it, in one chain through the text
-        for j in {last[m.kind, w] for w in m.words if (m.kind, w) in last}:
-            edges.append((j, i, SAME))
-        for w in m.words:
-            last[m.kind, w] = i
-    if not edges:
-        return [1 / (1 + math.exp(-u)) if u > -700 else 0.0 for u in unary]
-    msg = {(a, b): 0.0 for i, j, _ in edges for a, b in ((i, j), (j, i))}
-    around: dict[int, list[tuple[int, float]]] = {}
-    for i, j, c in edges:
-        around.setdefault(i, []).append((j, c))
-        around.setdefault(j, []).append((i, c))
+    same: set[tuple[int, int]] = set()
+    over = set(apart)
+    for i, m in enumerate(nodes):
+        keys = {(m.kind, w) for w in m.words} | {(m.kind, w[:5] + "~") for w in m.words if m.kind == "name" and len(w) > 6}
+        same |= {(last[k], i) for k in keys if k in last}
+        for k in keys:
+            last[k] = i
+    return near, sorted(e for e in same if e not in over), apart
+
+
+def marginals(nodes: list[Mention], model: Model | dict[str, np.ndarray]) -> list[float]:
+    """P(personal) of each node by loopy sum-product messages in log odds, damped, until they stand still."""
+    if isinstance(model, dict):  # node weights alone
+        model = Model(model, np.zeros(CONTEXT, dtype=np.float32))
+    unary = [model.unary(m) for m in nodes]
+    near, same, apart = edges_of(nodes)
+    names = lambda i, j: nodes[i].kind == nodes[j].kind == "name"  # noqa: E731  (the coupling is learned from names)
+    pairs = [*((i, j, model.near if names(i, j) else NEAR) for i, j in near), *((i, j, model.same) for i, j in same), *((i, j, None) for i, j in apart)]
     belief = unary
-    for _ in range(ROUNDS):
-        new = {}
-        for i, js in around.items():
-            for j, c in js:
-                h = max(-30.0, min(30.0, unary[i] + sum(msg[k, i] for k, _ in js if k != j)))
-                new[i, j] = 0.5 * msg[i, j] + 0.5 * (math.log(math.exp(c + h) + math.exp(-c)) - math.log(math.exp(h - c) + math.exp(c)))
-        msg = new
-    belief = [u + sum(msg[k, i] for k, _ in around.get(i, [])) for i, u in enumerate(unary)]
-    return [1 / (1 + math.exp(-max(-700.0, b))) for b in belief]
-
-
-def personal(text: str | None, stats: Statistics, weights: dict[str, np.ndarray]) -> list[Mention]:
-    """The personal items of a text; null and empty texts have none."""
+    if pairs:
+        around_: dict[int, list[tuple[int, float | None]]] = {}
+        for i, j, c in pairs:
+            around_.setdefault(i, []).append((j, c))
+            around_.setdefault(j, []).append((i, c))
+        msg = {(i, j, c): 0.0 for i, js in around_.items() for j, c in js}
+        for _ in range(ROUNDS):
+            total = {i: unary[i] + sum(msg[j, i, c] for j, c in js) for i, js in around_.items()}
+            most, new = 0.0, {}
+            for (i, j, c), old in msg.items():
+                h = max(-30.0, min(30.0, total[i] - msg[j, i, c]))
+                to = -math.log1p(math.exp(h)) if c is None else math.log((math.exp(c + h) + math.exp(-c)) / (math.exp(h - c) + math.exp(c)))
+                new[i, j, c] = 0.5 * old + 0.5 * to
+                most = max(most, abs(new[i, j, c] - old))
+            msg = new
+            if most < STILL:
+                break
+        belief = [u + sum(msg[j, i, c] for j, c in around_.get(i, ())) for i, u in enumerate(unary)]
+    return [1 / (1 + math.exp(-max(-700.0, min(700.0, b)))) for b in belief]
+
+
+def personal(text: str | None, stats: Statistics, model: Model) -> list[Mention]:
+    """The personal items of a text; null and empty texts have none. Of overlapping ones the likeliest stays."""
     if not text:
         return []
     nodes = mentions(text, stats)
-    kept = [m for m, p in zip(nodes, marginals(nodes, weights)) if p > 0.5]
+    taken = bytearray(len(text))
     out: list[Mention] = []
-    for m in kept:
-        if not out or m.start >= out[-1].end:
+    for p, m in sorted(((p, m) for m, p in zip(nodes, marginals(nodes, model)) if p > 0.5), key=lambda x: (-x[0], x[1].start)):
+        if taken.find(1, m.start, m.end) < 0:
+            taken[m.start : m.end] = b"\x01" * (m.end - m.start)
             out.append(m)
-    return out
+    return sorted(out, key=lambda m: m.start)
 
 
 def redact(text: str | None, items: list[Mention]) -> str | None:
@@ -337,34 +402,66 @@ def word_statistics(texts: DataFrame) -> Statistics:
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total.ravel()[used], pa.int64())], names=["slot", "n"])
 
         rows = spread(texts.select("text")).mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-        table = np.zeros(8 * SLOTS, dtype=np.int32)
-        table[rows["slot"].to_numpy(dtype=np.int64)] = np.minimum(rows["n"].to_numpy(dtype=np.int64), 2**31 - 1)
+        table = np.zeros(8 * SLOTS, dtype=np.int64)
+        table[rows["slot"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
         return table.reshape(4, 2 * SLOTS)
 
     first = tally(None)
     return Statistics(first + tally(texts.sparkSession.sparkContext.broadcast(first)))
 
 
-def fit_weights(texts: list[str], stats: Statistics) -> dict[str, np.ndarray]:
-    """Weights by kind. Names learn from the mentions whose context is telling or whose first word is common in such pairs and never announced as a name;
-    the announcement is hidden from half of the positive examples, so that form and words learn too. The other kinds have too few counterexamples and keep their priors."""
-    weights = {k: np.array(v, dtype=float) for k, v in PRIOR.items()}
-    found = [m for t in texts for m in mentions(t, stats)]
-    for kind in KINDS:
-        fame = FEATURES.index("first_name")
-        rows = [m for m in found if m.kind == kind and (m.telling or m.x[fame] < -1.5)]
-        if len(rows) < 50 or kind != "name":
-            continue
-        x, y = np.array([m.x for m in rows]), np.array([float(m.telling > 0) for m in rows])
-        for n in range(0, len(x), 2):
-            if y[n]:
-                x[n, [FEATURES.index(f) for f in ("cue", "title")]] = 0.0
-        prior, w = weights[kind], weights[kind].copy()
-        for _ in range(300):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            w -= 0.5 * (x.T @ (p - y) / len(y) + HOLD * (w - prior) / max(200.0, len(y)))
-        weights[kind] = w
-    return weights
+def fit_model(texts: list[str], stats: Statistics) -> Model:
+    """Weights of names, of the words around them, and the couplings, by pseudo-likelihood on a bounded sample.
+
+    Labels: mentions whose context tells, and those whose first word is often, or common but never, announced as a
+    name. What told them is hidden from half of the examples, so that the words around and the others learn too.
+    From the second round on unclear mentions count as well, with the marginals of the field as their labels, and the
+    labels of neighbours and of repetitions are features: their weights are the couplings. Everything is held to its
+    prior. The other kinds offer too few counterexamples and keep their priors.
+    """
+    model = prior_model()
+    docs = [n for t in texts if (n := mentions(t, stats))]
+    fame, hidden = FEATURES.index("first_name"), [FEATURES.index(f) for f in ("cue", "title", "first_name")]
+    names = [(d, i, m) for d, ns in enumerate(docs) for i, m in enumerate(ns) if m.kind == "name"]
+    seeds = [m.telling or (1 if m.x[fame] > 1.2 else -1 if m.x[fame] < -1.2 else 0) for _, _, m in names]
+    if sum(s > 0 for s in seeds) < 25 or sum(s < 0 for s in seeds) < 25:
+        return model
+    links = [edges_of(ns) for ns in docs]
+    x = np.array([m.x for _, _, m in names])
+    shown = x.copy()
+    for n in range(0, len(names), 2):
+        if seeds[n]:
+            shown[n, hidden] = 0.0
+    slots_ = np.array([m.context for _, _, m in names])
+    prior = model.node["name"].copy()
+    for step in range(FIT_ROUNDS):
+        if step:
+            beliefs = [marginals(ns, model) for ns in docs]
+            y = np.array([float(s > 0) if s else beliefs[d][i] for s, (d, i, _) in zip(seeds, names)])
+            weight = np.array([1.0 if s else abs(2 * beliefs[d][i] - 1) for s, (d, i, _) in zip(seeds, names)])
+            side = np.zeros((len(names), 2))
+            at = {(d, i): n for n, (d, i, _) in enumerate(names)}
+            for d, (near, same, _) in enumerate(links):
+                for k, es in ((0, near), (1, same)):
+                    for i, j in es:
+                        for a, b in ((i, j), (j, i)):
+                            if (d, a) in at and (k or (d, b) in at):
+                                side[at[d, a], k] += 2 * (2 * beliefs[d][b] - 1)
+        else:
+            y, weight, side = np.array([float(s > 0) for s in seeds]), np.array([float(s != 0) for s in seeds]), np.zeros((len(names), 2))
+        w, c, e = model.node["name"].copy(), model.context.astype(float), np.array([model.near, model.same])
+        held = np.array([NEAR, SAME])
+        size, grad = max(200.0, weight.sum()), np.zeros(CONTEXT)
+        for _ in range(400):
+            p = 1 / (1 + np.exp(-np.clip(shown @ w + c[slots_].sum(axis=1) + side @ e, -30, 30)))
+            r = weight * (p - y)
+            grad[:] = 0.0
+            np.add.at(grad, slots_, r[:, None])
+            w -= 0.5 * (shown.T @ r + HOLD * (w - prior)) / size
+            c -= 4.0 * (grad + HOLD_CONTEXT * c) / size
+            e -= 0.2 * (side.T @ r + HOLD_EDGE * (e - held)) / size
+        model.node["name"], model.context, model.near, model.same = w, c.astype(np.float32), float(max(0.0, e[0])), float(max(0.0, e[1]))
+    return model
 
 
 def text_fields(interactions: DataFrame, cases: DataFrame) -> DataFrame:
@@ -374,10 +471,10 @@ def text_fields(interactions: DataFrame, cases: DataFrame) -> DataFrame:
     return own[0].unionByName(own[1]).unionByName(cases.select(F.lit("cases.followup_prompt").alias("field"), F.col("case_id").alias("row_key"), F.col("followup_prompt").alias("text"))).where("text <> ''")
 
 
-def _model(texts: DataFrame) -> tuple[Statistics, dict[str, np.ndarray]]:
+def _model(texts: DataFrame) -> tuple[Statistics, Model]:
     stats = word_statistics(texts)
     sample = [r.text for r in texts.select("text", F.xxhash64("field", "row_key").alias("h")).orderBy("h", "text").limit(FIT_TEXTS).collect()]
-    return stats, fit_weights(sample, stats)
+    return stats, fit_model(sample, stats)
 
 
 def find(texts: DataFrame) -> DataFrame:

@@ -47,6 +47,46 @@ def test_kinds_and_positions(spark):
     assert P.personal("word " * 30_000, stats, weights) == []
 
 
+def test_contexts_are_learned_from_the_corpus(spark):
+    """Sentences that no list holds: around known names they announce unknown ones, around known things they do not."""
+    names = ["Ida Berg", "Olaf Lind", "Rosa Kuhn", "Timo Falk", "Vera Holm", "Nils Brandt"]
+    things = ["Blue Harbor", "Copper Ridge", "Warm Start", "Round Robin"]
+    rows = [f"Signed-off-by: {names[i % 6]}" for i in range(120)] + [f"Yesterday evening we had dinner alongside {names[i % 6]} downtown." for i in range(120)]
+    rows += [f"Later {names[i % 6]} and {names[(i + 1) % 6]} wrote; {names[i % 6]} left." for i in range(60)]
+    rows += [f"They finally rebooted {things[i % 4]} overnight." for i in range(120)] + [f"The {things[i % 4]} team knows." for i in range(40)]
+    stats, fitted = P._model(spark.createDataFrame([("f", str(i), t) for i, t in enumerate(rows)], "field string, row_key string, text string"))
+    found = lambda t: [(m.kind, t[m.start : m.end]) for m in P.personal(t, stats, fitted)]
+    for n in ("Tomasz Wojcik", "Anneliese Okafor", "Kenji Watanabe"):  # none is in the corpus
+        assert found(f"Yesterday evening we had dinner alongside {n} downtown.") == [("name", n)]
+        assert found(f"They finally rebooted {n} overnight.") == []
+    blind = P.Model(fitted.node, fitted.context * 0)
+    t = "Yesterday evening we had dinner alongside Kenji Watanabe downtown."
+    nodes = P.mentions(t, stats)
+    assert P.marginals(nodes, blind)[0] < P.marginals(nodes, fitted)[0] - 0.2
+    assert (fitted.near, fitted.same) != (P.NEAR, P.SAME)  # fitted with the nodes
+
+
+def test_overlapping_mentions_exclude_each_other():
+    x = lambda b: [b, *[0.0] * (len(P.FEATURES) - 1)]
+    w = {"name": P.np.array(x(1.0))}
+    a, b = P.Mention("name", 0, 9, x(1.0), frozenset(["a"])), P.Mention("name", 5, 14, x(3.0), frozenset(["b"]))
+    p = P.marginals([a, b], w)
+    assert p[0] < 0.5 < p[1] and P.marginals([a], w)[0] > 0.5
+
+
+def test_long_texts_grow_linearly(spark):
+    import time
+
+    stats, fitted = model(spark)
+    text = lambda n: " ".join(f"Mail ida.berg{i}@mail.example or Ida Berg, +49 30 2312{i % 10} 115, 12 Thistle Road, Ashcombe." for i in range(n))
+    took = []
+    for n in (300, 1200):
+        began = time.perf_counter()
+        assert len(P.personal(text(n), stats, fitted)) >= 3 * n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 7 * took[0]
+
+
 def test_skip_edges_carry_evidence():
     sure, unsure = [0.0] * len(P.FEATURES), [0.0] * len(P.FEATURES)
     sure[0] = unsure[0] = 1.0
