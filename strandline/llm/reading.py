@@ -1,8 +1,8 @@
 """Reading level of each document by regularised ordinal regression.
 
 Features of the English prose: word and sentence length, lexical diversity, word rarity over the corpus,
-connectives and a proxy of clause depth, as means and quantiles over sentences. Word rarity uses counts of all
-documents in a table of fixed size, by hashed word. The proportional odds model is fitted on the rated
+connectives and a proxy of clause depth, as means and quantiles over sentences. The prose of each document is found
+once and written; word rarity uses counts of all its words in a table of fixed size, by hashed word. The proportional odds model is fitted on the rated
 documents; ratings that the first fit finds all but impossible are left out of the second.
 """
 
@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.text import language, prose, sentences, words
-from strandline.session import cut, spread
+from strandline.session import cut, free, spread
 
 LEVELS = ("basic", "intermediate", "advanced")
 #: Words a document needs outside code, logs and tables.
 LEAST_WORDS = 40
 #: Size of the hashed table of word counts: the bound of what is broadcast, whatever the corpus.
-SLOTS = 1 << 17
+SLOTS = 1 << 20
 #: Ratings used at most for the fit, the ones with the smallest hash of doc_id.
 MOST_RATINGS = 20_000
 #: Strength of the ridge penalty, in ratings.
@@ -69,11 +69,6 @@ def english_prose(text: str | None) -> tuple[str, list[str]] | None:
     return (plain, found) if rest and max(rest, key=lambda k: rest[k]) == "en" else None
 
 
-def word_slots(text: str | None) -> list[int]:
-    got = english_prose(text)
-    return [slot(w) for w in got[1]] if got else []
-
-
 def syllables(word: str) -> int:
     return max(1, len(_VOWELS.findall(word)))
 
@@ -91,20 +86,34 @@ class WordMeasures(dict):
         return got
 
 
+#: Marks that part clauses, and openings of brackets, which put one clause into another.
+_PARTS, _INTO = re.compile(r"[,;:]|\s[-–—]\s"), re.compile(r"[(\[–—]")
+
+
+def clause_depth(sentence: str, connectives: int) -> float:
+    """A proxy of how deep clauses stand in a sentence: those that marks part and, once more, those that are put into another or begin with a subordinator."""
+    return len(_PARTS.findall(sentence)) + len(_INTO.findall(sentence)) + connectives
+
+
 def features(text: str | None, measures: WordMeasures) -> list[float] | None:
     """The features of a document, or None if it has no reading level."""
     got = english_prose(text)
-    if got is None:
-        return None
-    plain, low = got
-    per = []
+    return prose_features(got[0], measures) if got else None
+
+
+def prose_features(plain: str, measures: WordMeasures) -> list[float] | None:
+    """The features of the prose of a document, or None if no sentence of it has three words."""
+    low, per = [], []
     for s in sentences(plain):
-        ms = [measures[w.lower()] for w in words(s)]
+        ws = [w.lower() for w in words(s)]
+        low += ws
+        ms = [measures[w] for w in ws]
         n = len(ms)
         if n < 3:
             continue
         rare = [m[2] for m in ms if m[0] >= 4] or [m[2] for m in ms]
-        per.append((sum(m[0] for m in ms) / n, n, sum(m[1] for m in ms) / n, sum(rare) / len(rare), sum(m[3] for m in ms) + s.count(",") + s.count(";")))
+        joins = sum(m[3] for m in ms)
+        per.append((sum(m[0] for m in ms) / n, n, sum(m[1] for m in ms) / n, sum(rare) / len(rare), joins, clause_depth(s, joins)))
     if not per:
         return None
     a = np.array(per)
@@ -114,42 +123,50 @@ def features(text: str | None, measures: WordMeasures) -> list[float] | None:
     return [float(x) for x in (*a.mean(axis=0), *mid, (a[:, 0] * weight).sum(), np.mean(a[:, 1] > 9), np.mean(a[:, 2] > 0.3), np.mean((a[:, 1] > 9) & (a[:, 2] <= 0.3)), np.mean(window))]
 
 
-N_FEATURES = 15
+N_FEATURES = 17
 
 
-def corpus_rarity(documents: DataFrame) -> np.ndarray:
-    """Minus the log share of each word slot over all English documents. At most SLOTS rows of counts reach the driver."""
+def english_documents(documents: DataFrame) -> DataFrame:
+    """(doc_id, plain, words): the prose of every document that has a reading level, with its words in lower case."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, dtype=np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(0).to_pylist():
-                total += np.bincount(word_slots(t), minlength=SLOTS) if t else 0
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["slot", "n"])
+            ids, plains, found = [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got = english_prose(t)
+                if got is not None:
+                    ids.append(i)
+                    plains.append(got[0])
+                    found.append(got[1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(plains, pa.string()), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "plain", "words"])
+
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, plain string, words array<string>")
 
-    rows = spread(documents.select("text")).mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+
+def corpus_rarity(english: DataFrame) -> np.ndarray:
+    """Minus the log share of each word slot over all English documents. At most SLOTS rows of counts reach the driver."""
+    slots = english.select(F.explode("words").alias("w")).groupBy((F.crc32(F.encode("w", "UTF-8")) % SLOTS).cast("int").alias("slot")).agg(F.count("*").alias("n")).toPandas()
     counts = np.zeros(SLOTS)
-    counts[rows["slot"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=float)
+    counts[slots["slot"].to_numpy(dtype=np.int64)] = slots["n"].to_numpy(dtype=float)
     return (-np.log((counts + 0.5) / (counts.sum() + 0.5 * SLOTS))).astype(np.float32)
 
 
-def document_features(documents: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """(doc_id, x): the features of every document that has a reading level."""
-    table = documents.sparkSession.sparkContext.broadcast(rarity)
+def document_features(english: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """(doc_id, x): the features of each document of :func:`english_documents`."""
+    table = english.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measures = WordMeasures(table.value)
         for b in batches:
             ids, xs = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = features(t, measures)
+                x = prose_features(t, measures)
                 if x is not None:
                     ids.append(i)
                     xs.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(xs, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, x array<double>")
+    return spread(english.select("doc_id", "plain")).mapInArrow(run, "doc_id bigint, x array<double>")
 
 
 class OrdinalModel:
@@ -203,7 +220,9 @@ def fit_levels(x: DataFrame, labels: DataFrame, most: int = MOST_RATINGS) -> Ord
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, reading_level) for each document with English prose of at least LEAST_WORDS words. No ratings or no documents give no rows."""
-    x = cut(document_features(documents, corpus_rarity(documents)))
+    english = cut(english_documents(documents))
+    x = cut(document_features(english, corpus_rarity(english)))
+    free(english)
     model = fit_levels(x, labels)
     if model is None:
         return x.select("doc_id", F.lit(None).cast("string").alias("reading_level")).where("false")
