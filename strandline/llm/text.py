@@ -55,22 +55,39 @@ def sentences(text: str) -> list[str]:
     return [s for s in (x.strip() for x in SENTENCE.split(text)) if s and WORD.search(s)]
 
 
+class _Tokens(dict):
+    """What a token between blanks says about its text's language: (words, Cyrillic words, letters, Latin letters, and by language twice the function words and the marks). Emptied when full."""
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) > 200_000:
+            self.clear()
+        found = () if _ODD.search(token) else WORD.findall(token)
+        letters = "".join(found)
+        cyrillic, latin = (0, len(letters)) if letters.isascii() else (sum(1 for w in found if _CYRILLIC.match(w)), len(_LATIN.findall(letters)))
+        low = [w.lower() for w in found]
+        halves = [sum(1 if w in _SHARED else 2 for w in low if w in v) for v in _LANGUAGES.values()]
+        marks = [len(_MARKS[k].findall(token)) if k in _MARKS and found else 0 for k in _LANGUAGES]
+        got = self[token] = (len(found), cyrillic, len(letters), latin, *halves, *marks)
+        return got
+
+
+_tokens = _Tokens()
+_NAMES = tuple(_LANGUAGES)
+
+
 def language(text: str) -> tuple[str, float]:
     """(language, evidence): en, de, es, fr, ru, ``other`` for other scripts, or ``none``; evidence counts the words that speak for it against the next one."""
-    plain = " ".join(w for w in (_TICKS.sub(" ", text) if "`" in text else text).split() if not _ODD.search(w))
-    found = WORD.findall(plain)
-    if not found:
+    totals = [0] * (4 + 2 * len(_NAMES))
+    for token, n in Counter((_TICKS.sub(" ", text) if "`" in text else text).split()).items():
+        for i, x in enumerate(_tokens[token]):
+            if x:
+                totals[i] += n * x
+    words_, cyrillic, letters, latin, *rest = totals
+    if not words_:
         return "none", 0.0
-    letters = "".join(found)
-    cyrillic = 0
-    if not letters.isascii():
-        cyrillic = sum(1 for w in found if _CYRILLIC.match(w))
-        if not cyrillic and len(_LATIN.findall(letters)) <= len(letters) / 2:
-            return "other", float(len(found))
-    low = Counter(w.lower() for w in found)
-    score = {k: sum(n * (0.5 if w in _SHARED else 1.0) for w, n in low.items() if w in v) for k, v in _LANGUAGES.items()}
-    for k, mark in _MARKS.items():
-        score[k] += 0.7 * len(mark.findall(plain))
+    if letters != latin and not cyrillic and latin <= letters / 2:
+        return "other", float(words_)
+    score = {k: h / 2 + 0.7 * m for k, h, m in zip(_NAMES, rest, rest[len(_NAMES) :])}
     (best, n), (_, second) = sorted(score.items(), key=lambda x: -x[1])[:2]
     if cyrillic and FUNCTION_SHARE * cyrillic > n:  # names and addresses in Latin letters are no other language
         return "ru", cyrillic - n / FUNCTION_SHARE
