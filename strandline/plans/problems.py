@@ -90,7 +90,22 @@ WITH RECURSIVE links AS (
 _WAYS = _WALK + """, ways AS (
   SELECT id, coalesce(cyclic, false) AS cyclic, rooted, CASE WHEN coalesce(cyclic, false) THEN seen[1:list_position(seen, up)] WHEN rooted THEN list_append(seen, up) ELSE seen END AS way FROM ends
 )"""
+#: All objects inside the payloads, level by level; a string that as a whole is an object or array is opened.
+_OBJECTS = r"""
+WITH RECURSIVE top AS (
+  SELECT record_id, CASE WHEN json_type(v) = 'VARCHAR' AND regexp_matches(trim(v->>'$', E' \t\r\n'), '^[\[{]') THEN TRY_CAST(v->>'$' AS JSON) ELSE v END AS v FROM (SELECT record_id, TRY_CAST(payload AS JSON) AS v FROM rollout_records)
+), n AS (
+  SELECT record_id, v, '' AS path, '' AS parent, true AS whole FROM top WHERE json_type(v) IN ('OBJECT', 'ARRAY')
+  UNION ALL
+  SELECT record_id, CASE WHEN json_type(w) = 'VARCHAR' THEN TRY_CAST(w->>'$' AS JSON) ELSE w END, place, above, false FROM (
+    SELECT n.record_id, e.value AS w, CASE WHEN json_type(n.v) = 'ARRAY' THEN n.path || '[' || e.key || ']' WHEN n.path = '' THEN e.key ELSE n.path || '.' || e.key END AS place, CASE WHEN json_type(n.v) = 'ARRAY' THEN n.parent ELSE n.path END AS above
+    FROM n, LATERAL (SELECT * FROM json_each(n.v)) e WHERE json_type(n.v) IN ('OBJECT', 'ARRAY')
+  ) WHERE json_type(w) IN ('OBJECT', 'ARRAY') OR json_type(w) = 'VARCHAR' AND regexp_matches(trim(w->>'$', E' \t\r\n'), '^(\{.*\}|\[.*\])$', 's')
+)
+SELECT DISTINCT record_id, path AS node_path, parent AS parent_path FROM n WHERE NOT whole AND json_type(v) = 'OBJECT'
+"""
 SQL: dict[str, str] = {
+    "p3_found": _OBJECTS,
     "p2_found": _WALK + " SELECT id, CASE WHEN coalesce(cyclic, false) THEN 'cycle' WHEN rooted THEN up ELSE 'missing' END AS root_id, CAST(CASE WHEN NOT coalesce(cyclic, false) AND rooted THEN steps ELSE -1 END AS INTEGER) AS true_depth FROM ends",
     "p2_paths": _WAYS + " SELECT id, array_to_string(list_reverse(way), '/') AS path, CASE WHEN cyclic THEN 'cycle' WHEN rooted THEN 'rooted' ELSE 'missing' END AS status FROM ways",
     "p2_descendants": _WAYS + " SELECT p.x AS ancestor_id, id, CAST(p.k AS INTEGER) AS distance FROM (SELECT id, unnest(way) AS x, generate_subscripts(way, 1) - 1 AS k FROM ways) p WHERE p.k > 0",
