@@ -62,19 +62,24 @@ class World:
 
     # ---- user sessions and the evidence of their turns ----------------------------------------------------------
 
+    @property
+    def decoded(self) -> DataFrame:
+        """The decoded records, written once: the steps below read them four times."""
+        return self.keep("records", lambda: self.records)
+
     @property
     def users(self) -> DataFrame:
         """The files of user sessions: those with an interaction that starts at a readable instant, without a marked message."""
         def make() -> DataFrame:
             own = R.first_meta(self.raw).where("thread_source = 'user'").select("file_path", F.coalesce("id", F.lit("")).alias("id"), (F.coalesce("forked_from_id", F.lit("")) != "").alias("forked"))
-            some = T.interactions(self.records).where("start_ns is not null").select("file_path").distinct()
+            some = T.interactions(self.decoded).where("start_ns is not null").select("file_path").distinct()
             return own.join(R.marked_files(self.raw, MARKER), "file_path", "left_anti").join(some, "file_path", "left_semi")
 
         return self.keep("users", make)
 
     @property
     def user_turns(self) -> DataFrame:
-        return self.keep("user_turns", lambda: T.turns(self.records.join(self.users.select("file_path"), "file_path", "left_semi")).where("start_ns is not null"))
+        return self.keep("user_turns", lambda: T.turns(self.decoded.join(self.users.select("file_path"), "file_path", "left_semi")).where("start_ns is not null"))
 
     @property
     def sessions(self) -> DataFrame:
@@ -85,7 +90,7 @@ class World:
         """The turns of agents and of user sessions: responses are claimed across both."""
         def make() -> DataFrame:
             owners = self.owners.unionByName(self.users.where("id <> ''").select("file_path", F.col("id").alias("owner"), F.lit("user").alias("side"), "forked"))
-            f = self.keep("all_facts", lambda: C.timed(C.facts(self.records, owners)))
+            f = self.keep("all_facts", lambda: C.timed(C.facts(self.decoded, owners)))
             return C.metrics(C.resources(f, C.child_turns(f)))
 
         return self.keep("all_turns", make)
