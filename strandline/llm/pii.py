@@ -28,8 +28,8 @@ from strandline.session import spread
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Size of a hashed table of word statistics, whatever the corpus; a count is the lesser of two tables with different hashes.
 SLOTS = 1 << 19
-#: Texts used at most for fitting the weights, the ones with the smallest hash.
-FIT_TEXTS = 6_000
+#: Texts used at most for fitting the weights, the ones with the smallest hash of those of at most so many characters.
+FIT_TEXTS, FIT_CHARS = 6_000, 20_000
 #: Strength with which weights are held to their priors (node weights, context weights, couplings), prior couplings of neighbours and of mentions that share words, most rounds of messages and the change at which they stand still.
 HOLD, HOLD_CONTEXT, HOLD_EDGE, NEAR, SAME, ROUNDS, STILL = 20.0, 2.0, 20.0, 0.3, 2.0, 60, 1e-3
 #: Slots of the hashed words around a mention, rounds of fitting, distance in characters up to which mentions are neighbours.
@@ -473,7 +473,7 @@ def text_fields(interactions: DataFrame, cases: DataFrame) -> DataFrame:
 
 def _model(texts: DataFrame) -> tuple[Statistics, Model]:
     stats = word_statistics(texts)
-    sample = [r.text for r in texts.select("text", F.xxhash64("field", "row_key").alias("h")).orderBy("h", "text").limit(FIT_TEXTS).collect()]
+    sample = [r.text for r in texts.where(F.length("text") <= FIT_CHARS).select("text", F.xxhash64("field", "row_key").alias("h")).orderBy("h", "text").limit(FIT_TEXTS).collect()]
     return stats, fit_model(sample, stats)
 
 
