@@ -104,8 +104,19 @@ WITH RECURSIVE top AS (
 )
 SELECT DISTINCT record_id, path AS node_path, parent AS parent_path FROM n WHERE NOT whole AND json_type(v) = 'OBJECT'
 """
+
+
+def _flat_sql(table_path: str, fields: tuple[str, ...]) -> str:
+    """The flat table of one group of the objects, its scalar fields as text."""
+    walk = _OBJECTS[: _OBJECTS.rindex("SELECT DISTINCT")]
+    cells = ", ".join(f"CASE WHEN json_type(v, '$.{f}') NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN v->>'$.{f}' END AS {f}" for f in fields)
+    return walk + f"SELECT record_id, path AS node_path, parent AS parent_path, {cells} FROM n WHERE NOT whole AND json_type(v) = 'OBJECT' AND regexp_replace(path, '\\[\\d+\\]', '[]', 'g') = '{table_path}'"
+
+
 SQL: dict[str, str] = {
     "p3_found": _OBJECTS,
+    "p3_token_totals": _flat_sql("info.total_token_usage", ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")),
+    "p3_spawns": _flat_sql("source.subagent.thread_spawn", ("id", "parent_thread_id", "depth", "agent_role")),
     "p2_found": _WALK + " SELECT id, CASE WHEN coalesce(cyclic, false) THEN 'cycle' WHEN rooted THEN up ELSE 'missing' END AS root_id, CAST(CASE WHEN NOT coalesce(cyclic, false) AND rooted THEN steps ELSE -1 END AS INTEGER) AS true_depth FROM ends",
     "p2_paths": _WAYS + " SELECT id, array_to_string(list_reverse(way), '/') AS path, CASE WHEN cyclic THEN 'cycle' WHEN rooted THEN 'rooted' ELSE 'missing' END AS status FROM ways",
     "p2_descendants": _WAYS + " SELECT p.x AS ancestor_id, id, CAST(p.k AS INTEGER) AS distance FROM (SELECT id, unnest(way) AS x, generate_subscripts(way, 1) - 1 AS k FROM ways) p WHERE p.k > 0",

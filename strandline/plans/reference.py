@@ -318,6 +318,10 @@ def _case_inputs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def c6_labels(spark, d):
+    return _labelled(spark, d).withColumn("prevention_mechanisms", F.array_join("prevention_mechanisms", ","))
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
     return L.label(_case_inputs(spark, d).where("prompt <> '' or followup is not null"), L.rule_labeler)
 
 
@@ -331,7 +335,7 @@ def c11_violations(spark, d):
 
 @query
 def c12_views(spark, d):
-    views = L.result_views(c6_labels(spark, d))
+    views = L.result_views(_labelled(spark, d))
     out = [v.select(F.lit(n).alias("view"), "turn_id") for n, v in views.items()]
     whole = out[0]
     for o in out[1:]:

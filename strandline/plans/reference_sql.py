@@ -220,6 +220,17 @@ def _redact(c: str) -> str:
     return f"(SELECT CASE WHEN length(t) > 2400 THEN left(t, 1200) || chr(10) || '...[truncated]...' || chr(10) || right(t, 1200) ELSE t END FROM (SELECT {t} AS t))"
 
 
+_AT = lambda at, f: f"CASE WHEN {{}} THEN {_pick('turn_id', at, SETS[f])} END"
+_GIVEN = {"task_type": "prompt <> ''", "followup_label": "followup IS NOT NULL", "steering_reason": "steers", **{f: f"steers AND list_contains(ms, '{m}')" for f, m in MECHANISM_OF.items()}}
+_CONFIDENT = dict(zip(SETS, ("task_confidence", "followup_confidence", "steering_reason_confidence", "prompt_issue_confidence", "agents_rule_confidence", "skill_confidence", "validation_confidence")))
+#: What the rule labeler says of the cases.
+_RULED = f"""
+WITH ci AS ({_CASE_IN}), k AS (
+  SELECT turn_id, prompt, followup, coalesce(followup IS NOT NULL AND {_pick("turn_id", 2, FOLLOWUP_LABELS)} = 'steering', false) AS steers, {_MS}[1:ascii(substr(md5(turn_id), 5, 1)) % 4] AS ms FROM ci WHERE prompt <> '' OR followup IS NOT NULL
+), ruled AS (
+  SELECT turn_id, {", ".join(_AT({"task_type": 1, "followup_label": 2, "steering_reason": 3}.get(f, 3 + n), f).format(_GIVEN[f]) + f" AS {f}, CASE WHEN {_GIVEN[f]} THEN 1.0::DOUBLE END AS {_CONFIDENT[f]}" for n, f in enumerate(SETS))},
+    CASE WHEN steers THEN array_to_string(ms, ',') END AS prevention_mechanisms, steers AND len(ms) = 0 AS not_preventable, CASE WHEN steers AND len(ms) > 0 THEN 1.0::DOUBLE END AS prevention_confidence FROM k
+)"""
 _SNAPSHOT = INTER + ", fl AS (SELECT previous_turn_id AS turn_id FROM follow)" + LABELS.format(turns="fl") + """, sn AS (
   SELECT cohort, count(*) AS samples, round(count(*) FILTER (WHERE followup_label = 'steering') * 100.0 / count(*), 6) AS steering_rate FROM (SELECT '' AS cohort, followup_label FROM fl JOIN labels USING (turn_id) UNION ALL SELECT task_type, followup_label FROM fl JOIN labels USING (turn_id)) GROUP BY 1
 )"""
@@ -285,6 +296,8 @@ SQL: dict[str, str] = {
     "c5_cache_keys": _INPUTS + f" SELECT turn_id, {_KEY} AS cache_key FROM inputs",
     "j6_cache_pending": _INPUTS + f", k AS (SELECT turn_id, {_KEY} AS cache_key FROM inputs) SELECT * FROM k WHERE cache_key NOT IN (SELECT cache_key FROM k WHERE right(turn_id, 1) IN ('0', '2', '4', '6', '8'))",
     "c11_violations": _CASES + f", v AS (SELECT * EXCLUDE (prompt), coalesce(prompt, '') AS prompt, nullif(followup_prompt, '') AS followup, coalesce(len(prevention_mechanisms) = 0, false) AS np FROM c) SELECT turn_id, problem FROM (SELECT case_id AS turn_id, {_FIRST(_RULES)} AS problem FROM v) WHERE problem IS NOT NULL",
+    "c6_labels": _RULED + " SELECT * FROM ruled",
+    "c12_views": _RULED + " SELECT view, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS view FROM ruled WHERE {f} IS NOT NULL" for f in SETS) + " UNION ALL SELECT 'prevention' FROM ruled WHERE followup_label = 'steering') GROUP BY 1",
     "c16_classifier_cases": _CLASSIFIED + " SELECT * FROM k",
     "j5_cascade": _CLASSIFIED + " SELECT classifier, count(*) AS cases FROM k GROUP BY 1",
     "j14_in_order": "SELECT CAST(substr(case_id, 6) AS BIGINT) AS input_idx, case_id AS turn_id, CASE WHEN CAST(substr(case_id, 6) AS BIGINT) % 3 <> 0 THEN task_type END AS task_type, CAST(substr(case_id, 6) AS BIGINT) % 3 <> 0 AS found FROM cases",
