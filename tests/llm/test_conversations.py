@@ -81,3 +81,58 @@ def test_overlapping_fragments_become_contigs(spark):
     assert got == {1: (1, 0), 2: (1, 2), 3: (1, 1), 4: (4, 0)}
     inner = [say(1, 1, 0), say(2, 2, 0), say(3, 3, 0), say(4, 2, 1), say(5, 7, 1)]  # 2 is no suffix
     assert all(r.overlap == 0 for r in C.contigs(C.clean_messages(frame(spark, inner))).collect())
+
+
+def test_conversations_are_laid_out_by_contigs(spark):
+    say = lambda i, k, d, s="s": (i, s, None, ("assistant", "user")[k % 2], f"m{k}", at(k), d and DAY + timedelta(days=d))
+    # days 1 and 2 overlap; day 3 falls inside them; day 5 follows with the days that brought its beginning later
+    rows = [say(1, 1, 1), say(2, 2, 1), say(3, 3, 1), say(4, 3, 2), say(5, 4, 2), say(6, 5, 3), say(7, 6, 2), say(8, 9, 5), say(9, 10, 5), say(10, 7, 6), say(11, 8, 6), say(12, 9, 6)]
+    rows += [say(20, 1, 1, "t"), say(21, 2, None, "t")]
+    got = {(r.session_id, r.pos): (r.message_id, r.contig.year > 1 and r.contig.day - 1) for r in C.conversations(frame(spark, rows)).collect()}
+    want = [(1, 1), (2, 1), (3, 1), (5, 1), (6, 3), (7, 1), (10, 6), (11, 6), (8, 6), (9, 6)]
+    assert got == {("s", n + 1): x for n, x in enumerate(want)} | {("t", 1): (20, 1), ("t", 2): (21, False)}
+    lay = {(r.session_id, r.fragment.day - 1): r.scaffold for r in C.layout(C.merge_copies(C.clean_messages(frame(spark, [r for r in rows if r[1] == "s"])))).collect()}
+    assert lay == {("s", 1): 0, ("s", 2): 0, ("s", 3): 0, ("s", 5): 1, ("s", 6): 1}
+
+
+def brute_contigs(fragments):
+    """{fragment: contig} of one session from the sorted messages of each fragment, by suffix-prefix matches of every pair."""
+    edges = set()
+    for a, x in fragments.items():
+        for b, y in fragments.items():
+            if a != b and any(x[-k:] == y[:k] for k in range(1, min(len(x), len(y)) + 1)) and (x != y or a < b):
+                edges.add((a, b))
+    direct = {(a, b) for a, b in edges if not any((a, c) in edges and (c, b) in edges for c in fragments)}
+    links = {b: a for a, b in direct if sum(x == a for x, _ in direct) == 1 and sum(y == b for _, y in direct) == 1}
+    out = {}
+    for f in fragments:
+        top = f
+        while top in links:
+            top = links[top]
+        out[f] = top
+    return out
+
+
+def test_contigs_and_conversations_of_random_fragments(spark):
+    rnd = random.Random(11)
+    rows, want, n = [], {}, 0
+    for s in range(60):
+        fragments = {}
+        size = rnd.randint(4, 14)
+        texts = [(k, at(1 + k // 2) if s % 4 == 0 else at(k)) for k in range(size)]
+        for d in rnd.sample(range(1, 12), rnd.randint(2, 6)):
+            lo = rnd.randrange(size)
+            own = [k for k in range(lo, min(size, lo + rnd.randint(1, 6))) if rnd.random() < 0.95]
+            fragments[d] = own or [lo]
+        first = {}
+        for d, own in sorted(fragments.items(), key=lambda _: rnd.random()):
+            for k in own:
+                n += 1
+                first.setdefault(k, n)
+                rows.append((n, f"s{s}", None, ("user", "assistant")[k % 2], f"m{k}", texts[k][1], DAY + timedelta(days=d)))
+        order = {k: (texts[k][1], first[k]) for k in first}
+        want |= {(f"s{s}", d): c for d, c in brute_contigs({d: sorted(own, key=order.get) for d, own in fragments.items()}).items()}
+    rnd.shuffle(rows)
+    got = {(r.session_id, r.fragment.day - 1): r.contig.day - 1 for r in C.contigs(C.clean_messages(frame(spark, rows))).collect()}
+    assert got == want and sum(d != c for (_, d), c in want.items()) > 30
+    assert kept(spark, rows) == brute(rows) and len(brute(rows)) > 50
